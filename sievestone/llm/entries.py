@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules, sharding, url_filters
+from . import license_scan, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts, token_output, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
+    "op2_token_output": token_output.query,
     "op3_license_scan": license_scan.query,
+    "op4_suffix_dedup": suffix_dedup.query,
+    "op5_sentencepiece": sentencepiece_codec.query,
+    "op7_token_counts": token_counts.query,
     "op9_quality_rules": quality_rules.query,
     "op10_sharding": sharding.query,
 }
