@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .bpe import Merges
 from .shared import small_batches
@@ -130,8 +131,7 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
             pieces = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, pieces], [*names, out])
 
-    schema = docs.schema.add(out, "array<int>")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(coded: DataFrame, path: str, pieces: str = "pieces", out: str = "decoded") -> DataFrame:
@@ -149,7 +149,7 @@ def decode(coded: DataFrame, path: str, pieces: str = "pieces", out: str = "deco
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1], at[1:], strict=True)], pa.string())], [*names, out])
 
-    return coded.mapInArrow(run, coded.schema.add(out, "string"))
+    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def digest(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
