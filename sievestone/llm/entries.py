@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts, token_output, url_filters
+from . import decontamination, license_scan, near_dedup, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts, token_output, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_license_scan": license_scan.query,
     "op4_suffix_dedup": suffix_dedup.query,
     "op5_sentencepiece": sentencepiece_codec.query,
+    "op6_decontamination": decontamination.query,
     "op7_token_counts": token_counts.query,
+    "op8_near_dedup": near_dedup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_sharding": sharding.query,
 }
