@@ -98,7 +98,8 @@ def age_days(date: Column, as_of: Column) -> Column:
 
 def decay(date: Column, as_of: Column, missing: float) -> Column:
     """exp(-age / 43.3) of a date, `missing` where there is none (the report takes 0, research 0.3)."""
-    return F.coalesce(F.exp(-F.greatest(age_days(date, as_of), F.lit(0)) / 43.3), F.lit(missing))
+    age = age_days(date, as_of)
+    return F.coalesce(F.when(age.isNotNull(), F.exp(-F.greatest(age, F.lit(0)) / 43.3)), F.lit(missing))
 
 
 def freshness_step(date: Column, as_of: Column) -> Column:
