@@ -25,7 +25,7 @@ def directory_of(rows: DataFrame, limit: int, total: int) -> tuple[DataFrame, in
         leaf = left.groupBy(F.expr(f"shiftright(h, {BITS - at})").alias("leaf")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs"))
         up = leaf.select("leaf", "bytes", "docs", F.explode(F.sequence(F.lit(0), F.lit(at))).alias("depth")).withColumn("bucket", F.expr(f"shiftright(leaf, {at} - depth)"))
         sums = up.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
-        fits = up.join(sums, ["depth", "bucket"]).groupBy("leaf").agg(F.min_by(F.struct("depth", "bucket", "shard_bytes", "shard_docs"), F.when(F.col("shard_bytes") <= limit, F.col("depth")).otherwise(F.lit(at + 1))).alias("b"))
+        fits = up.join(sums, ["depth", "bucket"]).groupBy("leaf").agg(F.min_by(F.struct("depth", "bucket", "shard_bytes", "shard_docs"), F.when(F.col("shard_bytes") <= limit, F.col("depth")).otherwise(2 * at + 1 - F.col("depth"))).alias("b"))
         fits = materialize(fits.withColumn("at", F.lit(at)).select("leaf", "at", "b.*"), "directory")
         done = fits if at == BITS else fits.filter(F.col("shard_bytes") <= limit)
         found = done if found is None else found.unionByName(done)
