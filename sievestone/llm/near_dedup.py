@@ -1,11 +1,12 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 Documents of one shingle set are one class.  Each of several independent trees branches classes by minwise tokens:
-a node picks a few coordinates of the sketch, and a class goes on, for each, to the child named by its token there.
-Nodes are split until they are small, then compared exhaustively; what stays large at the last level is a dense family
-of near copies and is compared in blocks that all hold its leader.  Sketches only propose pairs; links are confirmed on
-full shingle sets.  A first round tests a spanning forest of each node's proposals, so a family of m copies costs m
-tests, not m squared; a second round tests every proposal that the links found so far do not already join.
+a node picks one coordinate of the sketch, or two, and a class goes on, for each, to the child named by its token
+there.  With about 1 / threshold branches, pairs below the threshold part company level by level and pairs above it
+stay together.  Nodes are split until they are small, then compared exhaustively; what stays large at the last level is
+a family of near copies and is compared in blocks that all hold its leaders.  Sketches only choose who meets whom: within
+a block, full shingle sets confirm links until what is linked is connected, so a family of m copies gives m links, not m
+squared.  Classes of a large node that its blocks leave outside its main component then meet all of its blocks.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from .shared import materialize, small_batches
 from .textops import BYTE_VALUE, LOWER, NOT_SPACE, U64, mix, prefix_hash, runs, span_hash, spread, texts_of
 
 SIZE = 128  # coordinates of a sketch
-TREES, BRANCHES, LEVELS = 3, 2, 3
-NODE = 64  # classes that are compared exhaustively
+TREES, LEVELS = 10, 8
+#: Every node has one branch, this part of them a second one.
+SECOND_BRANCH = 0.25
+NODE, LEADERS = 64, 3  # classes that are compared exhaustively; those of a large node that are in all its blocks
 #: Pairs are proposed from this many standard deviations of the sketch's estimate below the threshold.
 SLACK = 3.3
 LAST = (1 << 63) - 1
-ROWS_PER_BIN = 20_000
+ROWS_PER_BIN, BYTES_PER_BIN = 20_000, 4 << 20
 _SEEDS = mix(np.arange(1, 2 * SIZE + 1, dtype=U64) * U64(0xA0761D6478BD642F)).astype(np.uint32)
 _ADD, _MUL = _SEEDS[:SIZE], _SEEDS[SIZE:] | np.uint32(1)
 
@@ -92,12 +95,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _children(nodes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(child, row): where each row goes on from its node.  The node alone chooses the coordinates."""
-    out = []
-    for c in range(BRANCHES):
-        at = mix(nodes * U64(2) + U64(c + 1))
+    out, rows = [], []
+    second = mix(nodes ^ U64(0x2545F4914F6CDD1D)) < U64(int(SECOND_BRANCH * 2**64))
+    for c in range(2):
+        row = np.flatnonzero(second) if c else np.arange(len(nodes))
+        at = mix(nodes[row] * U64(2) + U64(c + 1))
         coordinate = (at % U64(SIZE)).astype(np.int64)
-        out.append(mix(at ^ (sketch[np.arange(len(nodes)), coordinate].astype(U64) * U64(0x9E3779B97F4A7C15))))
-    return np.concatenate(out), np.tile(np.arange(len(nodes)), BRANCHES)
+        out.append(mix(at ^ (sketch[row, coordinate].astype(U64) * U64(0x9E3779B97F4A7C15))))
+        rows.append(row)
+    return np.concatenate(out), np.concatenate(rows)
 
 
 def _branch(rows: DataFrame, root: bool) -> DataFrame:
@@ -133,65 +139,112 @@ def _tree_nodes(classes: DataFrame) -> DataFrame:
         now = _branch(large.join(classes.select("v", "sketch"), "v"), False)
 
 
-def _salt(nodes: DataFrame) -> DataFrame:
-    blocks = F.ceil(F.col("size") / NODE)
-    return nodes.withColumn("blocks", F.when(F.col("size") > NODE, blocks).otherwise(1)).withColumn("salt", F.pmod(F.xxhash64("v", "node"), F.col("blocks")))
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """(node, v, blocks, salt): a large node's classes are dealt to blocks of about NODE."""
+    count = F.when(F.col("size") > NODE, F.ceil(F.col("size") / NODE)).otherwise(1)
+    return nodes.select("node", "v", count.alias("blocks")).withColumn("salt", F.pmod(F.xxhash64("v", "node"), F.col("blocks")))
 
 
-def _proposals(blocks: DataFrame, classes: DataFrame, threshold: float, spanning: bool) -> DataFrame:
-    """(a, b) with a < b that sketches propose within blocks (block, v, component), of different components."""
+def _led(blocks: DataFrame) -> DataFrame:
+    """(block, v): every block of a large node holds its leaders too."""
+    large = blocks.filter("blocks > 1").groupBy("node", "blocks").agg(*[F.min_by("v", F.xxhash64("v", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)])
+    leaders = large.select("node", "blocks", F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("v")).select("node", "v", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("salt"))
+    return blocks.select("node", "v", "salt").unionByName(leaders).select(F.xxhash64("node", "salt").alias("block"), "v").distinct()
+
+
+def _pairs(block: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one block whose set sizes allow the threshold.  Rows are sorted by block."""
+    end = np.searchsorted(block, block, "right")
+    i, rank = spread(end - np.arange(len(block)) - 1)
+    j = i + 1 + rank
+    fits = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+    return i[fits], j[fits]
+
+
+def _alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut = threshold - SLACK * (threshold * (1 - threshold) / SIZE) ** 0.5
+    likely = np.concatenate([np.zeros(0), *[(sketch[i[x : x + 8192]] == sketch[j[x : x + 8192]]).mean(1) for x in range(0, len(i), 8192)]])
+    keep = likely >= cut
+    return i[keep], j[keep], likely[keep]
+
+
+class _Union:
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(p, p)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _gathered(blocks: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(block, v) of those that sketches put near another of their block, in groups that they connect; groups that several
+    trees found alike are kept once."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, v, n, comp = (table[c].to_numpy() for c in ("block", "v", "n", "component"))
-        sketch = _matrix(table["sketch"].combine_chunks())
+        block, v, n = (table[c].to_numpy() for c in ("block", "v", "n"))
         order = np.lexsort((v, block))
-        block, v, n, comp, sketch = block[order], v[order], n[order], comp[order], sketch[order]
-        end = np.searchsorted(block, block, "right")
-        i, rank = spread(end - np.arange(len(block)) - 1)
-        j = i + 1 + rank
-        fits = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
-        i, j = i[fits], j[fits]
-        alike = np.concatenate([np.zeros(0), *[(sketch[i[x : x + 8192]] == sketch[j[x : x + 8192]]).mean(1) for x in range(0, len(i), 8192)]])
-        keep = alike >= cut
-        i, j, alike = i[keep], j[keep], alike[keep]
-        if spanning:  # the likeliest pairs that join each block's proposals
-            parent = {}
-
-            def root(x: int) -> int:
-                while (p := parent.get(x, x)) != x:
-                    parent[x] = x = parent.get(p, p)
-                return x
-
-            chosen = []
-            for e in np.argsort(-alike, kind="stable").tolist():
-                if (x := root(int(i[e]))) != (y := root(int(j[e]))):
-                    parent[max(x, y)] = min(x, y)
-                    chosen.append(e)
-            i, j = i[chosen], j[chosen]
-        return pa.table({"a": np.minimum(v[i], v[j]), "b": np.maximum(v[i], v[j])})
+        block, v, n, sketch = block[order], v[order], n[order], _matrix(table["sketch"].combine_chunks())[order]
+        i, j, _ = _alike(sketch, *_pairs(block, n, threshold), threshold)
+        u = _Union()
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            u.join(x, y)
+        rows = np.unique(np.concatenate([i, j]))
+        root = np.array([u.root(x) for x in rows.tolist()], np.int64)
+        return pa.table({"block": mix(block[rows].view(U64) ^ v[root].view(U64)).view(np.int64), "v": v[rows]})
 
     bins = blocks.count() // ROWS_PER_BIN + 1
     rows = blocks.join(classes.select("v", "n", "sketch"), "v").withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(bins)))
-    return rows.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
+    found = materialize(rows.groupBy("bin").applyInArrow(run, "block long, v long"), "gathered")
+    alike = found.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.xxhash64("v") % 1_000_000_007).alias("one"), F.sum(F.xxhash64("v", F.lit(1)) % 1_000_000_009).alias("two"))
+    return found.join(alike.groupBy("n", "one", "two").agg(F.min("block").alias("block")).select("block"), "block")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets meet the threshold.  texts: (v, text)."""
+def _links(blocks: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """(a, b) confirmed on full sets: in each block, enough links to connect all that are linked.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = []
-            for c in (2, 3):
-                owner, values = shingle_sets(*texts_of(b.column(c)), k)
-                sets.append(np.split(values, np.searchsorted(owner, np.arange(1, b.num_rows))))
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64) - both
-            yield b.select(["a", "b"]).filter(pa.array(denominator * both >= numerator * union))
+    blocks: (block, v, component); what has the component in common needs no link.  texts: (v, n, bytes, sketch, text)."""
+    threshold = numerator / denominator
 
-    one = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(texts.select(F.col("v").alias("b"), F.col("text").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def run(table: pa.Table) -> pa.Table:
+        block, v, n, comp = (table[c].to_numpy() for c in ("block", "v", "n", "component"))
+        order = np.lexsort((v, block))
+        table = table.take(pa.array(order))
+        block, v, n, comp, sketch = block[order], v[order], n[order], comp[order], _matrix(table["sketch"].combine_chunks())
+        i, j = _pairs(block, n, threshold)
+        new = comp[i] != comp[j]
+        i, j, likely = _alike(sketch, i[new], j[new], threshold)
+        if not len(i):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        need = np.unique(np.concatenate([i, j]))
+        _, first, which = np.unique(v[need], return_index=True, return_inverse=True)  # a class's set once, in whatever blocks
+        owner, values = shingle_sets(*texts_of(table["text"].take(pa.array(need[first]))), k)
+        sets = np.split(values, np.searchsorted(owner, np.arange(1, len(first))))
+        of = dict(zip(need.tolist(), which.tolist(), strict=True))
+        # Vertices of a block's graph: (block, component), so that what is connected already counts as such.
+        _, vertex = np.unique(np.stack([block, comp]), axis=1, return_inverse=True)
+        vertex, u, out = vertex.ravel().tolist(), _Union(), []
+        for e in np.argsort(-likely, kind="stable").tolist():
+            x, y = int(i[e]), int(j[e])
+            if u.root(vertex[x]) != u.root(vertex[y]):
+                s, t = sets[of[x]], sets[of[y]]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if denominator * both >= numerator * (len(s) + len(t) - both):
+                    u.join(vertex[x], vertex[y])
+                    out.append((x, y))
+        x, y = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(v[x], v[y]), "b": np.maximum(v[x], v[y])})
+
+    rows = blocks.join(texts, "v")
+    size = blocks.join(texts.select("v", "bytes"), "v").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    rows = rows.withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(size // BYTES_PER_BIN + 1)))
+    return rows.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_dups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,26 +263,22 @@ def near_dups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int
     signed = materialize(_signatures(rows, k), "signatures")
     grouped = signed.filter("n > 0").withColumn("v", F.xxhash64("one", "two", "n")).groupBy("v").agg(F.min(F.struct("doc", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(grouped.select("v", "rep.doc", "rep.th", "n", "sketch"), "classes")
-    nodes = materialize(_salt(_tree_nodes(classes)), "members")
-
-    leaders = nodes.filter("blocks > 1").groupBy("node", "blocks").agg(F.min("v").alias("v")).select("node", "v", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("salt"))
-    first = nodes.select("node", "v", "salt").unionByName(leaders).distinct().select(F.xxhash64("node", "salt").alias("block"), "v", F.col("v").alias("component"))
-    tested = materialize(_proposals(first, classes, threshold, True), "proposals")
-
-    # Texts of the classes that are in any node with another: all that either round can ask for.
-    asked = nodes.select("v").distinct().join(classes.select("v", "doc", "th"), "v")
-    texts = materialize(rows.join(asked, ["doc", "th"]).select("v", "text").dropDuplicates(["v"]), "texts")
-    links = materialize(_confirmed(tested, texts, k, numerator, denominator), "links")
-
-    labelled = nodes.join(components(links), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    open_ = labelled.groupBy("node").agg(F.mode("component", deterministic=True).alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("node", "main")
-    again = labelled.join(open_, "node")
-    # In a large node, what is not in its main component meets all blocks; the rest meets its own.
-    minor = again.filter("blocks > 1 AND component <> main").withColumn("salt", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    major = again.filter("blocks = 1 OR component = main")
-    second = major.unionByName(minor).select(F.xxhash64("node", "salt").alias("block"), "v", "component").distinct()
-    left = materialize(_proposals(materialize(second, "open"), classes, threshold, False).join(tested, ["a", "b"], "left_anti"), "proposals")
-    more = _confirmed(left, texts, k, numerator, denominator)
+    blocks = materialize(_blocks(_tree_nodes(classes)), "members")
+    near = materialize(_gathered(_led(blocks), classes, threshold), "near")
+
+    # Texts of the classes that have another near them: all that either round can ask for.
+    asked = near.select("v").distinct().join(classes, "v")
+    texts = rows.join(asked, ["doc", "th"]).select("v", "n", F.octet_length("text").alias("bytes"), "sketch", "text").dropDuplicates(["v"])
+    texts = materialize(texts, "texts")
+    links = materialize(_links(near.withColumn("component", F.col("v")), texts, k, numerator, denominator), "links")
+
+    large = blocks.filter("blocks > 1").join(texts.select("v"), "v", "left_semi").join(components(links), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    main = large.groupBy("node").agg(F.mode("component", deterministic=True).alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("node", "main")
+    again = large.join(main, "node")
+    # What is not in a large node's main component meets all its blocks; the rest meets what comes to its own.
+    minor = again.filter("component <> main").withColumn("salt", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    second = again.filter("component = main").unionByName(minor).select(F.xxhash64("node", "salt").alias("block"), "v", "component").distinct()
+    more = materialize(_links(materialize(second, "open"), texts, k, numerator, denominator), "links")
     joined = components(links.unionByName(more))
 
     member = classes.select("v", "doc").join(joined, "v", "left").withColumn("component", F.coalesce("component", "v"))
