@@ -32,27 +32,45 @@ from .textops import BYTE_VALUE, U64, mix, prefix_hash, span_hash, spread, texts
 
 WINDOW, K = 50, 16
 #: Bytes of text that one task holds at a time, and bytes of text whose phrases meet in one bucket.
-CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 32 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20, 1 << 19
 LAST = (1 << 63) - 1
 ENTRIES = "bucket long, chunk long, blob binary"
 REPLIES = "chunk long, kind int, bucket long, blob binary"
 TOP = ~U64(0xFFFF)
 
 
-def phrases(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, ...]:
-    """(document number, first string, last string, trigger hash, phrase hash) of every phrase, by place."""
-    out, d = [], 0
+def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about BLOCK_BYTES: what the arrays over every byte are made for at a time."""
+    d = 0
     while d < len(offsets) - 1:
         e = max(d + 1, int(np.searchsorted(offsets, offsets[d] + BLOCK_BYTES, "right")) - 1)
+        yield d, e
+        d = e
+
+
+def phrases(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, ...]:
+    """(document number, first string, last string, trigger hash, phrase hash) of every phrase, by place."""
+    out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))]
+    for d, e in _blocks(offsets):
         at = int(offsets[d])
         found = _block(data[at : offsets[e]], offsets[d : e + 1] - at, window, k)
         out.append((found[0] + d, found[1] + at, found[2] + at, *found[3:]))
-        d = e
-    if not out:
-        out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _by_pair(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Order by (a, b, doc).  Most values of a are alone, so only ties are looked at further."""
+    order = np.argsort(a)
+    s = a[order]
+    same = np.zeros(len(s) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    tied = np.flatnonzero(same[:-1] | same[1:])
+    if len(tied):
+        t = order[tied]
+        order[tied] = t[np.lexsort((doc[t], b[t], a[t]))]
+    return order
+
+
 def _block(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     n, none = len(data), np.zeros(0, np.int64)
     if n < window:
@@ -86,7 +104,7 @@ class Distinct:
 
     def __init__(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, buckets: int) -> None:
         a, b = a & TOP, b & TOP
-        order = np.lexsort((doc, b, a))
+        order = _by_pair(a, b, doc)
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -141,7 +159,8 @@ def match(entries: pa.Table, kind: int) -> pa.Table:
     sizes = np.array([len(p[0]) for p in parts])
     a, b, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
     owner, own = spread(sizes)
-    order = np.lexsort((b, a))
+    del parts
+    order = _by_pair(a, b, doc)
     a, b = a[order], b[order]
     new_a, new_b = np.ones(len(a), bool), np.ones(len(a), bool)
     new_a[1:] = a[1:] != a[:-1]
@@ -193,10 +212,12 @@ class Chunk:
         at = self.phrase.place[chosen]
         owner, rank = spread(self.hi[at] - self.lo[at] + 1)
         start = self.lo[at][owner] + rank
-        prefix = prefix_hash(BYTE_VALUE[self.data])
-        half = self.window // 2
-        one = span_hash(prefix, start, start + self.window)
-        two = mix(span_hash(prefix, start, start + half) + U64(3) * span_hash(prefix, start + half, start + self.window))
+        one, two, half = np.zeros(len(start), U64), np.zeros(len(start), U64), self.window // 2
+        for d, e in _blocks(self.offsets):
+            here = np.flatnonzero((start >= self.offsets[d]) & (start < self.offsets[e]))
+            prefix, p = prefix_hash(BYTE_VALUE[self.data[self.offsets[d] : self.offsets[e]]]), start[here] - self.offsets[d]
+            one[here] = span_hash(prefix, p, p + self.window)
+            two[here] = mix(span_hash(prefix, p, p + half) + U64(3) * span_hash(prefix, p + half, p + self.window))
         first = np.full(len(mixed), -1, np.int64)
         first[chosen] = np.cumsum(np.bincount(owner, minlength=len(chosen))) - np.bincount(owner, minlength=len(chosen))
         return Distinct(one, two, self.phrase.doc[chosen][owner], self.buckets), owner, first
