@@ -96,7 +96,8 @@ def _block(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[
     last = np.append(first[1:], len(start)) - 1
     lo, hi, anchor = start[first], start[last], anchor[first]
     whole = span_hash(prefix, lo, hi + window)
-    return owner[first], lo, hi, trigger[anchor], mix(whole + (anchor - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
+    # Triggers are least hashes, so small numbers: mixed again, they fill all buckets alike.
+    return owner[first], lo, hi, mix(trigger[anchor]), mix(whole + (anchor - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 class Distinct:
