@@ -23,9 +23,7 @@ from .shared import materialize, small_batches
 from .textops import BYTE_VALUE, LOWER, NOT_SPACE, U64, mix, prefix_hash, runs, span_hash, spread, texts_of
 
 SIZE = 128  # coordinates of a sketch
-TREES, LEVELS = 10, 8
-#: Every node has one branch, this part of them a second one.
-SECOND_BRANCH = 0.25
+TREES, LEVELS = 6, 6
 NODE, LEADERS = 64, 3  # classes that are compared exhaustively; those of a large node that are in all its blocks
 #: Pairs are proposed from this many standard deviations of the sketch's estimate below the threshold.
 SLACK = 3.3
@@ -93,10 +91,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIZE)
 
 
-def _children(nodes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(child, row): where each row goes on from its node.  The node alone chooses the coordinates."""
+def _children(nodes: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(child, row): where each row goes on from its node.  The node alone chooses the coordinates: one, and for so many of
+    the nodes a second one that there are 1 / threshold on average."""
     out, rows = [], []
-    second = mix(nodes ^ U64(0x2545F4914F6CDD1D)) < U64(int(SECOND_BRANCH * 2**64))
+    second = mix(nodes ^ U64(0x2545F4914F6CDD1D)) < U64(int(min(0.99, 1 / threshold - 1) * 2**64))
     for c in range(2):
         row = np.flatnonzero(second) if c else np.arange(len(nodes))
         at = mix(nodes[row] * U64(2) + U64(c + 1))
@@ -106,27 +105,27 @@ def _children(nodes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(out), np.concatenate(rows)
 
 
-def _branch(rows: DataFrame, root: bool) -> DataFrame:
-    """(node, v) one level below.  rows: (v, sketch), and node unless root."""
+def _branch(rows: DataFrame, root: bool, threshold: float) -> DataFrame:
+    """(node, v) one level below, each once by construction.  rows: (v, sketch), and node unless root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, sketch = b.column(0), _matrix(b.column(1))
             if root:
                 tree = np.repeat(mix(np.arange(1, TREES + 1, dtype=U64)), b.num_rows)
-                child, row = _children(tree, np.tile(sketch, (TREES, 1)))
+                child, row = _children(tree, np.tile(sketch, (TREES, 1)), threshold)
                 row = row % b.num_rows
             else:
-                child, row = _children(b.column(2).to_numpy().view(U64), sketch)
+                child, row = _children(b.column(2).to_numpy().view(U64), sketch, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), v.take(pa.array(row))], ["node", "v"])
 
     columns = ["v", "sketch"] + ([] if root else ["node"])
-    return rows.select(*columns).mapInArrow(run, "node long, v long").distinct()
+    return rows.select(*columns).mapInArrow(run, "node long, v long")
 
 
-def _tree_nodes(classes: DataFrame) -> DataFrame:
+def _tree_nodes(classes: DataFrame, threshold: float) -> DataFrame:
     """(node, size, v): membership in the nodes that are compared.  Nodes of one class have nothing to compare."""
-    found, now = None, _branch(classes, True)
+    found, now = None, _branch(classes, True, threshold)
     for level in range(1, LEVELS + 1):
         now = materialize(now, "level")
         sized = now.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
@@ -136,7 +135,7 @@ def _tree_nodes(classes: DataFrame) -> DataFrame:
         large = now.filter(F.col("size") > NODE)
         if level == LEVELS or not large.head(1):
             return found
-        now = _branch(large.join(classes.select("v", "sketch"), "v"), False)
+        now = _branch(large.join(classes.select("v", "sketch"), "v"), False, threshold)
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
@@ -263,7 +262,7 @@ def near_dups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int
     signed = materialize(_signatures(rows, k), "signatures")
     grouped = signed.filter("n > 0").withColumn("v", F.xxhash64("one", "two", "n")).groupBy("v").agg(F.min(F.struct("doc", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(grouped.select("v", "rep.doc", "rep.th", "n", "sketch"), "classes")
-    blocks = materialize(_blocks(_tree_nodes(classes)), "members")
+    blocks = materialize(_blocks(_tree_nodes(classes, threshold)), "members")
     near = materialize(_gathered(_led(blocks), classes, threshold), "near")
 
     # Texts of the classes that have another near them: all that either round can ask for.
