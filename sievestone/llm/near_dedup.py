@@ -267,9 +267,15 @@ def near_dups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int
 
     # Texts of the classes that have another near them: all that either round can ask for.
     asked = near.select("v").distinct().join(classes, "v")
-    texts = rows.join(asked, ["doc", "th"]).select("v", "n", F.octet_length("text").alias("bytes"), "sketch", "text").dropDuplicates(["v"])
+    texts = rows.join(asked, ["doc", "th"]).select("v", "n", F.octet_length("text").alias("bytes"), "sketch", "text", "doc", "th").dropDuplicates(["doc", "th"]).drop("doc", "th")  # as the join has dealt them: no second shuffle
     texts = materialize(texts, "texts")
-    links = materialize(_links(near.withColumn("component", F.col("v")), texts, k, numerator, denominator), "links")
+    # Trees find much the same groups.  A third of the blocks connects most of them; of the rest, only blocks that still
+    # have several components need their texts.
+    part = F.pmod(F.xxhash64("block", F.lit(7)), F.lit(3)) == 0
+    links = materialize(_links(near.filter(part).withColumn("component", F.col("v")), texts, k, numerator, denominator), "links")
+    rest = near.filter(~part).join(components(links), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    apart = rest.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("block")
+    links = materialize(links.unionByName(_links(materialize(rest.join(apart, "block"), "apart"), texts, k, numerator, denominator)), "links")
 
     large = blocks.filter("blocks > 1").join(texts.select("v"), "v", "left_semi").join(components(links), "v", "left").withColumn("component", F.coalesce("component", "v"))
     main = large.groupBy("node").agg(F.mode("component", deterministic=True).alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("node", "main")
