@@ -8,19 +8,21 @@ WINDOW bytes, fall apart by trigger:
 
 1. parse: chunks of texts send each distinct phrase once (trigger hash, phrase hash, least document);
 2. where a trigger has one phrase, all strings of that phrase are alike decided by its least document;
-3. where a trigger has several phrases, their suffixes of WINDOW bytes and more are compared: each distinct phrase's
-   suffixes go, once for each chunk, to the bucket of their hash, where equal ones meet (the dictionary's suffix
-   order); the parse gives each its documents, and its least document goes back;
-4. chunks parse again and remove the strings that start in a smaller document.
+3. where a trigger has several phrases, two of them can only share a string if they also agree for half of its other
+   bytes before the trigger, or behind it: hashes of both sides are sent, and phrases that are alone with theirs are done;
+4. the suffixes of WINDOW bytes of the phrases left are compared: each distinct phrase's go, once for each chunk, to the
+   bucket of their hash, where equal ones meet (the dictionary's suffix order); the parse gives each its documents,
+   and its least document goes back;
+5. chunks parse again and remove the strings that start in a smaller document.
 
 Nothing goes by row or position: a bucket gets arrays of distinct entries, a text copied in a third of all documents
-gives one entry for each chunk.  Hashes that decide equality have 96 bits.
+gives one entry for each chunk.  Hashes that decide equality have 80 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20, 1 << 19
 LAST = (1 << 63) - 1
 ENTRIES = "bucket long, chunk long, blob binary"
 REPLIES = "chunk long, kind int, bucket long, blob binary"
-TOP = ~U64(0xFFFF)
+TOP, TOP_B = ~U64(0xFFFF), ~U64(0xFFFFFFFF)
 
 
 def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -49,8 +51,10 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, ...]:
-    """(document number, first string, last string, trigger hash, phrase hash) of every phrase, by place."""
-    out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))]
+    """(document number, first string, last string, trigger hash, phrase hash, hashes of the sides before and behind the
+    trigger) of every phrase, by place.  A side that reaches
+    beyond the phrase, which none of its strings can have, is 0."""
+    out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, U64, U64))]
     for d, e in _blocks(offsets):
         at = int(offsets[d])
         found = _block(data[at : offsets[e]], offsets[d : e + 1] - at, window, k)
@@ -74,7 +78,7 @@ def _by_pair(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _block(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     n, none = len(data), np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, *[none.astype(U64)] * 4
     prefix = prefix_hash(BYTE_VALUE[data])
     grams = np.arange(n - k + 1)
     trigger = span_hash(prefix, grams, grams + k)
@@ -97,14 +101,19 @@ def _block(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[
     lo, hi, anchor = start[first], start[last], anchor[first]
     whole = span_hash(prefix, lo, hi + window)
     # Triggers are least hashes, so small numbers: mixed again, they fill all buckets alike.
-    return owner[first], lo, hi, mix(trigger[anchor]), mix(whole + (anchor - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
+    # Sides count only within the phrase, so that they are the same wherever it stands.
+    half, owner = (window - k + 1) // 2, owner[first]
+    before, behind = anchor - half >= lo, anchor + k + half <= hi + window
+    left = np.where(before, span_hash(prefix, np.maximum(anchor - half, 0), anchor + k), U64(0))
+    right = np.where(behind, span_hash(prefix, anchor, np.minimum(anchor + k + half, n)) ^ U64(1), U64(0))
+    return owner, lo, hi, mix(trigger[anchor]), mix(whole + (anchor - lo).astype(U64) * U64(0xD6E8FEB86659FD93)), left, right
 
 
 class Distinct:
     """The distinct (a, b) of one chunk, sorted; each with its least document and the places it stands for."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, buckets: int) -> None:
-        a, b = a & TOP, b & TOP
+        a, b = a & TOP, b & TOP_B
         order = _by_pair(a, b, doc)
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)
@@ -139,13 +148,13 @@ def _planes(x: np.ndarray, low: int = 0) -> bytes:
 
 
 def _pack(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(_planes(a, 2) + _planes(b, 2) + _planes(doc))
+    return zstandard.ZstdCompressor(level=1).compress(_planes(a, 2) + _planes(b, 4) + _planes(doc))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n, out, at = len(raw) // 20, [], 0
-    for low, kind in ((2, U64), (2, U64), (0, np.int64)):
+    n, out, at = len(raw) // 18, [], 0
+    for low, kind in ((2, U64), (4, U64), (0, np.int64)):
         x = np.zeros((n, 8), np.uint8)
         x[:, low:] = raw[at : at + (8 - low) * n].reshape(8 - low, n).T
         out.append(x.view(kind)[:, 0])
@@ -154,7 +163,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def match(entries: pa.Table, kind: int) -> pa.Table:
-    """One bucket: what each chunk must know of its entries.  kind 0: phrases by trigger; 1: suffixes by their hash."""
+    """One bucket: what each chunk must know of its entries.  kind 0: phrases by trigger; 1: suffixes by their hash; 2: sides,
+    of which a chunk is told that another has them too."""
     chunks = entries["chunk"].to_numpy()
     parts = [_unpack(x) for x in entries["blob"].to_pylist()]
     sizes = np.array([len(p[0]) for p in parts])
@@ -176,8 +186,8 @@ def match(entries: pa.Table, kind: int) -> pa.Table:
         # Documents of one chunk entry: its least only, so a trigger seen with one least document may still have more.
         mixed |= several & (np.bincount(group_a)[group_a] > 1)
     else:
-        mixed = np.zeros(len(a), bool)
-    tell = np.flatnonzero(mixed | (least < sorted_doc))
+        mixed = (np.bincount(group_b)[group_b] > 1) & (kind == 2)
+    tell = np.flatnonzero(mixed | (least < sorted_doc) & (kind != 2))
     to = owner[order[tell]]
     by = np.argsort(to, kind="stable")
     tell, to = tell[by], to[by]
@@ -204,9 +214,27 @@ class Chunk:
         self.data, self.offsets = texts_of(table["_text"])
         self.doc_id = table["_doc"].to_numpy()
         self.window, self.buckets = window, buckets
-        self.doc, self.lo, self.hi, key, full = phrases(self.data, self.offsets, window)
+        self.doc, self.lo, self.hi, key, full, self.left, self.right = phrases(self.data, self.offsets, window)
         self.phrase = Distinct(key, full, self.doc_id[self.doc], buckets)
 
+    def sides(self, mixed: np.ndarray) -> tuple[Distinct, np.ndarray]:
+        """(distinct sides of the mixed phrases, the phrase that each stands for)."""
+        chosen = np.flatnonzero(mixed)
+        at = self.phrase.place[chosen]
+        side, owner = np.concatenate([self.left[at], self.right[at]]), np.tile(chosen, 2)
+        side, owner = side[side != 0], owner[side != 0]
+        return Distinct(side, side << U64(48), self.phrase.doc[owner], self.buckets), owner
+
+    def shared(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(least document of any chunk, whether its strings must be compared) for each distinct phrase."""
+        least, mixed = self.phrase.replied(replies, 0)
+        sides, owner = self.sides(mixed)
+        _, elsewhere = sides.replied(replies, 2)
+        near = elsewhere | (np.bincount(sides.which, minlength=len(sides.a)) > 1)
+        compare = np.zeros(len(mixed), bool)
+        compare[owner[near[sides.which]]] = True
+        return least, compare
+
     def suffixes(self, mixed: np.ndarray) -> tuple[Distinct, np.ndarray, np.ndarray]:
         """(distinct strings of the mixed phrases, their places' owners, where each mixed phrase's strings begin)."""
         chosen = np.flatnonzero(mixed)
@@ -225,7 +253,7 @@ class Chunk:
 
     def removed(self, replies: pa.Table) -> np.ndarray:
         """Whether each byte is covered by a string that also starts in a smaller document."""
-        least, mixed = self.phrase.replied(replies, 0)
+        least, mixed = self.shared(replies)
         own = self.doc_id[self.doc]
         gone = least[self.phrase.which] < own
         edge = np.zeros(len(self.data) + 1, np.int32)
@@ -261,13 +289,21 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     def parse(table: pa.Table) -> pa.Table:
         return Chunk(table, buckets, window).phrase.blobs(table["chunk"][0].as_py())
 
-    def suffix(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+    empty = pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+
+    def side(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return empty
         c = Chunk(left, buckets, window)
         _, mixed = c.phrase.replied(right, 0)
-        return c.suffixes(mixed)[0].blobs(left["chunk"][0].as_py()) if mixed.any() else empty
+        return c.sides(mixed)[0].blobs(left["chunk"][0].as_py()) if mixed.any() else empty
+
+    def suffix(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty
+        c = Chunk(left, buckets, window)
+        _, compare = c.shared(right)
+        return c.suffixes(compare)[0].blobs(left["chunk"][0].as_py()) if compare.any() else empty
 
     out = docs.schema if keep_text else f"{key} {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -293,9 +329,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         kept = [hashlib.sha256(c.data[a:b][~gone[a:b]]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.table({key: left["_c0"], "n_bytes": pa.array(size), "n_removed": pa.array(total[at[1:]] - total[at[:-1]]), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]]), "kept_sha256": pa.array(kept, pa.string())})
 
-    by_trigger = rows.groupBy("chunk").applyInArrow(parse, ENTRIES).groupBy("bucket").applyInArrow(lambda t: match(t, 0), REPLIES)
-    by_string = rows.groupBy("chunk").cogroup(by_trigger.groupBy("chunk")).applyInArrow(suffix, ENTRIES).groupBy("bucket").applyInArrow(lambda t: match(t, 1), REPLIES)
-    return rows.groupBy("chunk").cogroup(by_trigger.unionByName(by_string).groupBy("chunk")).applyInArrow(remove, out)
+    def met(entries: DataFrame, kind: int) -> DataFrame:
+        return entries.groupBy("bucket").applyInArrow(lambda t: match(t, kind), REPLIES)
+
+    def asked(f: Callable[[pa.Table, pa.Table], pa.Table], replies: DataFrame, schema: object = ENTRIES) -> DataFrame:
+        return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(f, schema)
+
+    by_trigger = met(rows.groupBy("chunk").applyInArrow(parse, ENTRIES), 0)
+    known = by_trigger.unionByName(met(asked(side, by_trigger), 2))
+    return asked(remove, known.unionByName(met(asked(suffix, known), 1)), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
