@@ -23,7 +23,7 @@ from .shared import materialize, small_batches
 from .textops import BYTE_VALUE, LOWER, NOT_SPACE, U64, mix, prefix_hash, runs, span_hash, spread, texts_of
 
 SIZE = 128  # coordinates of a sketch
-TREES, LEVELS = 6, 6
+TREES, LEVELS = 8, 6
 NODE, LEADERS = 64, 3  # classes that are compared exhaustively; those of a large node that are in all its blocks
 #: Pairs are proposed from this many standard deviations of the sketch's estimate below the threshold.
 SLACK = 3.3
