@@ -16,7 +16,8 @@ WINDOW bytes, fall apart by trigger:
 5. chunks parse again and remove the strings that start in a smaller document.
 
 Nothing goes by row or position: a bucket gets arrays of distinct entries, a text copied in a third of all documents
-gives one entry for each chunk.  Hashes that decide equality have 80 bits.
+gives one entry for each chunk.  Equality is decided by 112 hash bits for phrases (48 of the trigger's, 64 of the
+phrase's own), by 80 for strings and by 64 for sides, which only choose what is compared.
 """
 
 from __future__ import annotations
@@ -38,7 +39,10 @@ CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20, 1 << 19
 LAST = (1 << 63) - 1
 ENTRIES = "bucket long, chunk long, blob binary"
 REPLIES = "chunk long, kind int, bucket long, blob binary"
-TOP, TOP_B = ~U64(0xFFFF), ~U64(0xFFFFFFFF)
+TOP = ~U64(0xFFFF)
+#: Lowest bytes of b that are left out, by kind.  A phrase has its trigger's hash as a, so b alone tells phrases of one
+#: trigger apart, and their pairs grow with the square of the input: all 64 bits stay.
+LOW_B = {0: 0, 1: 4, 2: 4}
 
 
 def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -110,10 +114,11 @@ def _block(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[
 
 
 class Distinct:
-    """The distinct (a, b) of one chunk, sorted; each with its least document and the places it stands for."""
+    """The distinct (a, b) of one kind in one chunk, sorted; each with its least document and the places it stands for."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, buckets: int) -> None:
-        a, b = a & TOP, b & TOP_B
+    def __init__(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, buckets: int, kind: int) -> None:
+        self.kind = kind
+        a, b = a & TOP, b & (~U64(0) << U64(8 * LOW_B[kind]))
         order = _by_pair(a, b, doc)
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)
@@ -126,14 +131,14 @@ class Distinct:
         self.edge = np.append(np.searchsorted(self.a, edges.astype(U64)), len(self.a))
 
     def blobs(self, chunk: int) -> pa.Table:
-        rows = [(x, chunk, _pack(self.a[i:j], self.b[i:j], self.doc[i:j])) for x, (i, j) in enumerate(zip(self.edge[:-1], self.edge[1:], strict=True)) if j > i]
+        rows = [(x, chunk, _pack(self.a[i:j], self.b[i:j], self.doc[i:j], self.kind)) for x, (i, j) in enumerate(zip(self.edge[:-1], self.edge[1:], strict=True)) if j > i]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
-    def replied(self, replies: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    def replied(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """(least document of any chunk, whether several phrases share the trigger) for each entry."""
         least, mixed = self.doc.copy(), np.zeros(len(self.doc), bool)
         for own, bucket, blob in zip(replies["kind"].to_pylist(), replies["bucket"].to_pylist(), replies["blob"].to_pylist(), strict=True):
-            if own == kind:
+            if own == self.kind:
                 raw = zstandard.ZstdDecompressor().decompress(blob)
                 n = len(raw) // 13
                 at = np.frombuffer(raw, np.uint32, n) + self.edge[bucket]
@@ -147,17 +152,17 @@ def _planes(x: np.ndarray, low: int = 0) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8)[:, low:].T).tobytes()
 
 
-def _pack(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(_planes(a, 2) + _planes(b, 4) + _planes(doc))
+def _pack(a: np.ndarray, b: np.ndarray, doc: np.ndarray, kind: int) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(_planes(a, 2) + _planes(b, LOW_B[kind]) + _planes(doc))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n, out, at = len(raw) // 18, [], 0
-    for low, kind in ((2, U64), (4, U64), (0, np.int64)):
+    n, out, at = len(raw) // (22 - LOW_B[kind]), [], 0
+    for low, dtype in ((2, U64), (LOW_B[kind], U64), (0, np.int64)):
         x = np.zeros((n, 8), np.uint8)
         x[:, low:] = raw[at : at + (8 - low) * n].reshape(8 - low, n).T
-        out.append(x.view(kind)[:, 0])
+        out.append(x.view(dtype)[:, 0])
         at += (8 - low) * n
     return tuple(out)
 
@@ -166,7 +171,7 @@ def match(entries: pa.Table, kind: int) -> pa.Table:
     """One bucket: what each chunk must know of its entries.  kind 0: phrases by trigger; 1: suffixes by their hash; 2: sides,
     of which a chunk is told that another has them too."""
     chunks = entries["chunk"].to_numpy()
-    parts = [_unpack(x) for x in entries["blob"].to_pylist()]
+    parts = [_unpack(x, kind) for x in entries["blob"].to_pylist()]
     sizes = np.array([len(p[0]) for p in parts])
     a, b, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
     owner, own = spread(sizes)
@@ -215,7 +220,7 @@ class Chunk:
         self.doc_id = table["_doc"].to_numpy()
         self.window, self.buckets = window, buckets
         self.doc, self.lo, self.hi, key, full, self.left, self.right = phrases(self.data, self.offsets, window)
-        self.phrase = Distinct(key, full, self.doc_id[self.doc], buckets)
+        self.phrase = Distinct(key, full, self.doc_id[self.doc], buckets, 0)
 
     def sides(self, mixed: np.ndarray) -> tuple[Distinct, np.ndarray]:
         """(distinct sides of the mixed phrases, the phrase that each stands for)."""
@@ -223,13 +228,13 @@ class Chunk:
         at = self.phrase.place[chosen]
         side, owner = np.concatenate([self.left[at], self.right[at]]), np.tile(chosen, 2)
         side, owner = side[side != 0], owner[side != 0]
-        return Distinct(side, side << U64(48), self.phrase.doc[owner], self.buckets), owner
+        return Distinct(side, side << U64(48), self.phrase.doc[owner], self.buckets, 2), owner
 
     def shared(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """(least document of any chunk, whether its strings must be compared) for each distinct phrase."""
-        least, mixed = self.phrase.replied(replies, 0)
+        least, mixed = self.phrase.replied(replies)
         sides, owner = self.sides(mixed)
-        _, elsewhere = sides.replied(replies, 2)
+        _, elsewhere = sides.replied(replies)
         near = elsewhere | (np.bincount(sides.which, minlength=len(sides.a)) > 1)
         compare = np.zeros(len(mixed), bool)
         compare[owner[near[sides.which]]] = True
@@ -249,7 +254,7 @@ class Chunk:
             two[here] = mix(span_hash(prefix, p, p + half) + U64(3) * span_hash(prefix, p + half, p + self.window))
         first = np.full(len(mixed), -1, np.int64)
         first[chosen] = np.cumsum(np.bincount(owner, minlength=len(chosen))) - np.bincount(owner, minlength=len(chosen))
-        return Distinct(one, two, self.phrase.doc[chosen][owner], self.buckets), owner, first
+        return Distinct(one, two, self.phrase.doc[chosen][owner], self.buckets, 1), owner, first
 
     def removed(self, replies: pa.Table) -> np.ndarray:
         """Whether each byte is covered by a string that also starts in a smaller document."""
@@ -261,7 +266,7 @@ class Chunk:
         np.add.at(edge, self.hi[gone] + self.window, -1)
         if mixed.any():
             strings, _, first = self.suffixes(mixed)
-            string_least, _ = strings.replied(replies, 1)
+            string_least, _ = strings.replied(replies)
             ask = np.flatnonzero(mixed[self.phrase.which] & ~gone)
             owner, rank = spread(self.hi[ask] - self.lo[ask] + 1)
             place = self.lo[ask][owner] + rank
@@ -295,7 +300,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         if not left.num_rows or not right.num_rows:
             return empty
         c = Chunk(left, buckets, window)
-        _, mixed = c.phrase.replied(right, 0)
+        _, mixed = c.phrase.replied(right)
         return c.sides(mixed)[0].blobs(left["chunk"][0].as_py()) if mixed.any() else empty
 
     def suffix(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -122,6 +122,17 @@ def test_passages(spark, monkeypatch):
     assert kept.columns == df.columns and kept.count() == df.count() and kept.filter("text IS NULL").count() == 2
 
 
+@pytest.mark.parametrize("size", [1, 1 << 20])
+def test_phrases_of_one_trigger_that_agree_in_half_of_their_hash(spark, monkeypatch, size):
+    """Found among 400,000 random phrases around one trigger."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", size)
+    texts = ["tnntnswhhphhdcnhviiotfcovuwnjvownplmlneuxbynnuojqf", "uwbintvszzgwhjfvviiotfcovuwnjvownnmedgjcilorjcjgor", "dptordolzcmxpjqziiiotfcovuwnjvownmsdamahtctqyuvvgc", "iucjwntmwlvqrtvjuiiotfcovuwnjvownihboioqutqnvtnttc"]
+    _, _, _, trigger, full, _, _ = suffix_dedup.phrases(*texts_of(pa.array(texts)))
+    assert len(trigger) == 4 and len(set(trigger.tolist())) == 1 and len(set(full.tolist())) == 4 and len({x >> 32 for x in full.tolist()}) == 2
+    rows = list(enumerate([*texts, texts[0]]))
+    assert got(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == passages(rows)
+
+
 # --- pieces
 def test_pieces(spark):
     model, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_codec.codec(PIECES)
