@@ -12,6 +12,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import classify, dedup, frontier, ranking, report
+from ..session import materialize, small_side
 from ..sources import feeds
 from ..streaming import jobs
 from . import crawl
@@ -406,10 +407,13 @@ _VEC = "SELECT k, term, c * coalesce(idf, ln(100)) / sqrt(sum((c * coalesce(idf,
 idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT k) + 1)) + 1 AS idf FROM d GROUP BY term), dv AS ({_VEC.format('d')}), qv AS ({_VEC.format('q')}),
 c AS (SELECT qv.k AS item_id, dv.k AS doc_id, round(sum(qv.w * dv.w), 6) AS cosine FROM qv JOIN dv USING (term) GROUP BY ALL) SELECT item_id, doc_id, cosine FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) <= 5""")
 def query_doc_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest documents of a stated set of queries (items below 20), against all documents."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").filter("item_id < 20")
-    idf = ranking.vocabulary(docs, "doc_id", "text")
-    c = ranking.cosine(ranking.vectors(items, "item_id", "text", idf), "item_id", ranking.vectors(docs, "doc_id", "text", idf), "doc_id").withColumn("cosine", F.round("cosine", 6))
+    """The five nearest documents of every benchmark item, against all documents.
+
+    Items' vectors are broadcast if counted as few, so that pairs add up where a document's terms are."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    idf = materialize(ranking.vocabulary(docs, "doc_id", "text"))
+    asked = small_side(ranking.vectors(items, "item_id", "text", idf))
+    c = ranking.cosine(asked, "item_id", ranking.vectors(docs, "doc_id", "text", idf), "doc_id").withColumn("cosine", F.round("cosine", 6))
     return ranking.top_per(c, "item_id", [F.desc("cosine"), F.col("doc_id")], 5).select("item_id", "doc_id", "cosine")
 
 
