@@ -7,7 +7,10 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from sievestone.functions import constants as C
+from sievestone.plans import catalog
 from sievestone.plans.catalog import QUERIES
 
 
@@ -34,3 +37,15 @@ def test_every_item_is_searched(spark, tmp_path):
         want += [(item, i, -c) for c, i in sorted(near)[:5]]
     got = QUERIES["query_doc_cosine_topk"](spark, str(tmp_path)).collect()
     assert len({x["item_id"] for x in got}) == 45 and sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [20_000, 20])
+def test_every_domain_is_joined(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(catalog, "BLOCK_DOMAINS", size, raising=False)
+    urls = [f"https://d{i}.example.com/a/{j}" for i in range(70) for j in range(i % 3 + 1)]
+    urls += ["https://www.d1.example.com/", "https://D5.example.com/x", "https://other.org/?from=d69.example.com", None, "no url"]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    host = lambda u: None if u is None else m[1] if (m := re.match(r"[A-Za-z]+://([^/?#]*)", u)) else ""
+    want = {h: 0 if h is None else sum(h.lower() in u.lower() for u in urls if u is not None) for h in map(host, urls)}
+    got = QUERIES["domain_theta_join"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) == 75 and {r["domain"]: r["pages"] for r in got} == want
