@@ -255,6 +255,17 @@ def near_dups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int
     null keys alone has a null id).  Rows of one key are judged by their own texts.  A pair at the threshold is missed if
     its sketch is over SLACK deviations off (one in two thousand) or no tree brings it together (far rarer).
     """
+    signed, member = _members(docs, k, numerator, denominator, key, text)
+    least = member.groupBy("component").agg(F.min("doc").alias("component_id"))
+    known = member.join(least, "component").select("v", "component_id")
+    out = signed.withColumn("v", F.when(F.col("n") > 0, F.xxhash64("one", "two", "n"))).select("doc", "n", "v").join(known, "v", "left")
+    least_id = F.coalesce("component_id", "doc")
+    null = lambda c: F.when(c != LAST, c)
+    return out.select(null(F.col("doc")).alias(key), F.col("n").alias("n_shingles"), null(least_id).alias("component_id"), (F.col("doc") == least_id).alias("kept"))
+
+
+def _members(docs: DataFrame, k: int, numerator: int, denominator: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows' signatures (doc, th, n, ...), classes of equal sets (v, doc, th, component) with their least (doc, th))."""
     threshold = numerator / denominator
     spark = docs.sparkSession
     small_batches(spark)
@@ -286,13 +297,7 @@ def near_dups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int
     more = materialize(_links(materialize(second, "open"), texts, k, numerator, denominator), "links")
     joined = components(links.unionByName(more))
 
-    member = classes.select("v", "doc").join(joined, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    least = member.groupBy("component").agg(F.min("doc").alias("component_id"))
-    known = member.join(least, "component").select("v", "component_id")
-    out = signed.withColumn("v", F.when(F.col("n") > 0, F.xxhash64("one", "two", "n"))).select("doc", "n", "v").join(known, "v", "left")
-    least_id = F.coalesce("component_id", "doc")
-    null = lambda c: F.when(c != LAST, c)
-    return out.select(null(F.col("doc")).alias(key), F.col("n").alias("n_shingles"), null(least_id).alias("component_id"), (F.col("doc") == least_id).alias("kept"))
+    return signed, classes.select("v", "doc", "th").join(joined, "v", "left").withColumn("component", F.coalesce("component", "v"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -300,6 +305,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (five-word shingles, 0.8 or more)."""
-    verdict = near_dups(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi")
+    """The document with the smallest id of each group of near-duplicates (five-word shingles, 0.8 or more).
+
+    Null ids count as larger than others.  Of a group's rows with its smallest id, or of a group without ids, one stays:
+    that of the least hash of text, and any one of rows that repeat id and text.  Rows of one id that are not near each
+    other are of different groups.  A text without words is in no group; only repeats of its id and text go."""
+    signed, member = _members(docs.select("doc_id", "text"), 5, 80, 100, "doc_id", "text")
+    first = member.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("_row")).select("_row")
+    verdict = first.unionByName(signed.filter("n = 0").select(F.struct("doc", "th").alias("_row")).distinct())
+    rows = docs.withColumn("_row", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th")))
+    return rows.join(verdict, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -77,9 +77,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep.  Statistics go by row, so a text is read once for the rules and once to be kept."""
-    verdict = quality(docs.select("doc_id", "text", "source")).filter("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi")
+    """Documents that the rules keep.  Statistics go by row, so a text is read once for the rules and once to be kept.
+
+    A verdict goes back to the rows of its doc_id, text (by hash) and source, nulls included: of several rows of one id
+    those stay that the rules keep, and rows without an id stay like others.  Repeated rows all stay or all go."""
+    # Equality of structs takes null fields as equal.
+    rows = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("th"), "source"))
+    verdict = quality(rows.select("_row", "text", "source"), "_row").filter("kept").select("_row").distinct()
+    return rows.join(verdict, "_row", "left_semi").drop("_row")
 
 
 ORACLE = """
