@@ -23,13 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sievestone/{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a statement go when it ends, as far as this Spark has the setting.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs only
-    the tasks that it was running."""
+    the tasks that it was running.  What was shuffled for it is deleted, so that the disk holds one step's at a time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -1,23 +1,24 @@
 """Repeated passages by prefix-free parsing: rolling-hash triggers cut texts into overlapping phrases; the suffixes of the
-distinct phrases (the dictionary) and the places of phrases (the parse) together order the corpus to passage length.
+distinct phrases (the dictionary) and where phrases stand (the parse) together order the corpus to passage length.
 
 Every WINDOW-byte string lies within exactly one phrase: it belongs to the trigger that has the least hash of the
 string's K-grams (leftmost of equals), and a phrase is what a trigger's consecutive strings cover, so neighbours
-overlap by WINDOW - 1 bytes.  Equal strings have equal triggers.  So corpus suffixes, ordered by their first
-WINDOW bytes, fall apart by trigger:
-
-1. parse: chunks of texts send each distinct phrase once (trigger hash, phrase hash, least document);
-2. where a trigger has one phrase, all strings of that phrase are alike decided by its least document;
-3. where a trigger has several phrases, two of them can only share a string if they also agree for half of its other
-   bytes before the trigger, or behind it: hashes of both sides are sent, and phrases that are alone with theirs are done;
-4. the suffixes of WINDOW bytes of the phrases left are compared: each distinct phrase's go, once for each chunk, to the
-   bucket of their hash, where equal ones meet (the dictionary's suffix order); the parse gives each its documents,
-   and its least document goes back;
-5. chunks parse again and remove the strings that start in a smaller document.
-
-Nothing goes by row or position: a bucket gets arrays of distinct entries, a text copied in a third of all documents
-gives one entry for each chunk.  Equality is decided by 112 hash bits for phrases (48 of the trigger's, 64 of the
-phrase's own), by 80 for strings and by 64 for sides, which only choose what is compared.
+overlap by WINDOW - 1 bytes.  Equal strings have equal triggers, and a string never reaches over its phrase: order to
+WINDOW bytes is the dictionary's alone, and the parse adds which document comes first.
+
+0. pack: texts in order of key become chunks of a few MB, one compressed row each.  A chunk holds all rows of its keys,
+   or rows of one key alone, so the order of chunks' least keys is the order of their documents;
+1. parse: a chunk sends each distinct phrase's hash and each distinct trigger's, once; it is told which phrases a chunk
+   before it has too (all their strings go), and which triggers have several phrases in several chunks;
+2. dictionary: the phrases of such triggers go as bytes, each from the first chunk that has it, to the bucket of their
+   trigger.  There their suffixes are sorted by WINDOW bytes, equal ones by the order of their chunks (suffix, then parse
+   rank): neighbours tell whether a string stands in a chunk before.  A trigger of very many phrases has no bucket
+   of its own: its phrases are cut into single strings, each of which goes to the bucket of its own hash;
+3. remove: a chunk takes both answers, orders its own dictionary for what its own documents share, and removes.
+
+A passage copied in a third of all documents gives one entry for each chunk; nothing goes by row or place.  Entries are hashes
+(80 bits of a phrase; 48 of a trigger, which only choose what is compared); strings are compared byte by byte.
+Every step is a table in the shared folder, and its shuffle files go when it is written.
 """
 
 from __future__ import annotations
@@ -27,24 +28,31 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
 from .textops import BYTE_VALUE, U64, mix, prefix_hash, span_hash, spread, texts_of
 
 WINDOW, K = 50, 16
-#: Bytes of text that one task holds at a time, and bytes of text whose phrases meet in one bucket.
-CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20, 1 << 19
-LAST = (1 << 63) - 1
-ENTRIES = "bucket long, chunk long, blob binary"
+#: Bytes of text of a chunk, of a range of chunks that one task packs, of what meets in one bucket, of one round of hashing.
+CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20, 16 << 20, 1 << 19
+#: Strings that are sorted at a time; a bucket is dealt with in so many slices of its triggers.
+SORTED_AT_ONCE, SLICES = 1 << 20, 16
+#: A trigger of more phrases than this, counted for each chunk, is hot: its strings are dealt out one by one.
+HOT = 4096
+LAST, FIRST = (1 << 63) - 1, -(1 << 63)
+PACKED = "chunk long, ord long, body binary"
+ENTRIES = "bucket long, kind int, chunk long, ord long, blob binary"
 REPLIES = "chunk long, kind int, bucket long, blob binary"
 TOP = ~U64(0xFFFF)
-#: Lowest bytes of b that are left out, by kind.  A phrase has its trigger's hash as a, so b alone tells phrases of one
-#: trigger apart, and their pairs grow with the square of the input: all 64 bits stay.
-LOW_B = {0: 0, 1: 4, 2: 4}
+PHRASE, TRIGGER, STRING = 0, 1, 2
 
 
+# --- parse -----------------------------------------------------------------------------------------------------------
 def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of documents of about BLOCK_BYTES: what the arrays over every byte are made for at a time."""
     d = 0
@@ -55,34 +63,20 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, ...]:
-    """(document number, first string, last string, trigger hash, phrase hash, hashes of the sides before and behind the
-    trigger) of every phrase, by place.  A side that reaches
-    beyond the phrase, which none of its strings can have, is 0."""
-    out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, U64, U64))]
+    """(document number, first string, last string, trigger hash, phrase hash, more bits of it, the trigger's place) of every
+    phrase, by place."""
+    out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, U64, np.int64))]
     for d, e in _blocks(offsets):
         at = int(offsets[d])
         found = _block(data[at : offsets[e]], offsets[d : e + 1] - at, window, k)
-        out.append((found[0] + d, found[1] + at, found[2] + at, *found[3:]))
+        out.append((found[0] + d, found[1] + at, found[2] + at, *found[3:6], found[6] + at))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _by_pair(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Order by (a, b, doc).  Most values of a are alone, so only ties are looked at further."""
-    order = np.argsort(a)
-    s = a[order]
-    same = np.zeros(len(s) + 1, bool)
-    same[1:-1] = s[1:] == s[:-1]
-    tied = np.flatnonzero(same[:-1] | same[1:])
-    if len(tied):
-        t = order[tied]
-        order[tied] = t[np.lexsort((doc[t], b[t], a[t]))]
-    return order
-
-
 def _block(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     n, none = len(data), np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, *[none.astype(U64)] * 4
+        return none, none, none, *[none.astype(U64)] * 3, none
     prefix = prefix_hash(BYTE_VALUE[data])
     grams = np.arange(n - k + 1)
     trigger = span_hash(prefix, grams, grams + k)
@@ -103,246 +97,445 @@ def _block(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     lo, hi, anchor = start[first], start[last], anchor[first]
-    whole = span_hash(prefix, lo, hi + window)
     # Triggers are least hashes, so small numbers: mixed again, they fill all buckets alike.
-    # Sides count only within the phrase, so that they are the same wherever it stands.
-    half, owner = (window - k + 1) // 2, owner[first]
-    before, behind = anchor - half >= lo, anchor + k + half <= hi + window
-    left = np.where(before, span_hash(prefix, np.maximum(anchor - half, 0), anchor + k), U64(0))
-    right = np.where(behind, span_hash(prefix, anchor, np.minimum(anchor + k + half, n)) ^ U64(1), U64(0))
-    return owner, lo, hi, mix(trigger[anchor]), mix(whole + (anchor - lo).astype(U64) * U64(0xD6E8FEB86659FD93)), left, right
-
-
-class Distinct:
-    """The distinct (a, b) of one kind in one chunk, sorted; each with its least document and the places it stands for."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, buckets: int, kind: int) -> None:
-        self.kind = kind
-        a, b = a & TOP, b & (~U64(0) << U64(8 * LOW_B[kind]))
-        order = _by_pair(a, b, doc)
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        self.which = np.empty(len(a), np.int64)
-        self.which[order] = np.cumsum(new) - 1
-        self.place = order[new]  # of the one with the least document
-        self.a, self.b, self.doc = a[new], b[new], doc[self.place]
-        edges = np.array([(x << 64) // buckets for x in range(buckets)], object)
-        self.edge = np.append(np.searchsorted(self.a, edges.astype(U64)), len(self.a))
-
-    def blobs(self, chunk: int) -> pa.Table:
-        rows = [(x, chunk, _pack(self.a[i:j], self.b[i:j], self.doc[i:j], self.kind)) for x, (i, j) in enumerate(zip(self.edge[:-1], self.edge[1:], strict=True)) if j > i]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
-
-    def replied(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """(least document of any chunk, whether several phrases share the trigger) for each entry."""
-        least, mixed = self.doc.copy(), np.zeros(len(self.doc), bool)
-        for own, bucket, blob in zip(replies["kind"].to_pylist(), replies["bucket"].to_pylist(), replies["blob"].to_pylist(), strict=True):
-            if own == self.kind:
-                raw = zstandard.ZstdDecompressor().decompress(blob)
-                n = len(raw) // 13
-                at = np.frombuffer(raw, np.uint32, n) + self.edge[bucket]
-                least[at] = np.frombuffer(raw, np.uint8, 8 * n, 4 * n).reshape(8, n).T.copy().view(np.int64)[:, 0]
-                mixed[at] = np.frombuffer(raw, np.uint8, n, 12 * n).astype(bool)
-        return least, mixed
-
-
-def _planes(x: np.ndarray, low: int = 0) -> bytes:
-    """Numbers byte by byte, first all lowest bytes (from byte `low` on): like bytes compress."""
+    whole = mix(span_hash(prefix, lo, hi + window) + (anchor - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
+    parts = mix(span_hash(prefix, lo, anchor + k) + U64(3) * span_hash(prefix, anchor, hi + window))
+    return owner[first], lo, hi, mix(trigger[anchor]), whole, parts, anchor
+
+
+# --- order -----------------------------------------------------------------------------------------------------------
+def ordered(data: np.ndarray, start: np.ndarray, rank: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at `start`, sorted by their first `window` bytes and equal ones by rank: (order, whether each begins
+    another string than the one before).  Eight bytes at a time, and only among those that are still equal."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
+    if window < 8:
+        key = word[start].astype(U64) >> U64(8 * (8 - window))
+    else:
+        key = word[start].astype(U64)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(start), bool)
+    new[1:] = key[1:] != key[:-1]
+    for at in [*range(8, window - 7, 8), *([window - 8] if window > 8 and window % 8 else []), None]:
+        group = np.cumsum(new) - 1
+        tied = np.flatnonzero((np.bincount(group) > 1)[group]) if len(group) else group
+        if not len(tied):
+            break
+        t = order[tied]
+        key = rank[t] if at is None else word[start[t] + at].astype(U64)
+        by = np.lexsort((key, group[tied]))
+        order[tied], key = t[by], key[by]
+        if at is not None:
+            new[tied[1:]] |= key[1:] != key[:-1]
+    return order, new
+
+
+def least_ranks(data: np.ndarray, start: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
+    """For each suffix the least rank of those that have the same first `window` bytes."""
+    order, new = ordered(data, start, rank, window)
+    out = np.empty(len(start), rank.dtype)
+    out[order] = rank[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    return out
+
+
+# --- what goes between chunks and buckets -----------------------------------------------------------------------------
+def _squeeze(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _planes(x: np.ndarray, low: int) -> bytes:
+    """Numbers byte by byte from byte `low` on, first all lowest bytes: like bytes compress."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8)[:, low:].T).tobytes()
 
 
-def _pack(a: np.ndarray, b: np.ndarray, doc: np.ndarray, kind: int) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(_planes(a, 2) + _planes(b, LOW_B[kind]) + _planes(doc))
+def _from_planes(raw: np.ndarray, n: int, low: int) -> np.ndarray:
+    x = np.zeros((n, 8), np.uint8)
+    x[:, low:] = raw[: (8 - low) * n].reshape(8 - low, n).T
+    return x.view(U64)[:, 0]
 
 
-def _unpack(blob: bytes, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n, out, at = len(raw) // (22 - LOW_B[kind]), [], 0
-    for low, dtype in ((2, U64), (LOW_B[kind], U64), (0, np.int64)):
-        x = np.zeros((n, 8), np.uint8)
-        x[:, low:] = raw[at : at + (8 - low) * n].reshape(8 - low, n).T
-        out.append(x.view(dtype)[:, 0])
-        at += (8 - low) * n
-    return tuple(out)
+#: Lowest bytes of the two numbers of an entry that are left out, by kind.  Phrase: 64 and 16 bits of its hashes; trigger: 48 bits,
+#: and 32 bits of its one phrase's hash above the number of its phrases (up to 255).
+LOW = {PHRASE: (0, 6), TRIGGER: (2, 3)}
 
 
-def match(entries: pa.Table, kind: int) -> pa.Table:
-    """One bucket: what each chunk must know of its entries.  kind 0: phrases by trigger; 1: suffixes by their hash; 2: sides,
-    of which a chunk is told that another has them too."""
-    chunks = entries["chunk"].to_numpy()
-    parts = [_unpack(x, kind) for x in entries["blob"].to_pylist()]
-    sizes = np.array([len(p[0]) for p in parts])
-    a, b, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    owner, own = spread(sizes)
-    del parts
-    order = _by_pair(a, b, doc)
-    a, b = a[order], b[order]
-    new_a, new_b = np.ones(len(a), bool), np.ones(len(a), bool)
-    new_a[1:] = a[1:] != a[:-1]
-    new_b[1:] = new_a[1:] | (b[1:] != b[:-1])
-    group_a, group_b = np.cumsum(new_a) - 1, np.cumsum(new_b) - 1
-    sorted_doc = doc[order]
-    least = np.minimum.reduceat(sorted_doc, np.flatnonzero(new_b))[group_b]
-    if kind == 0:
-        starts = np.flatnonzero(new_a)
-        several = np.bincount(group_a, new_b)[group_a] > 1
-        mixed = several & (np.minimum.reduceat(sorted_doc, starts) != np.maximum.reduceat(sorted_doc, starts))[group_a]
-        # Documents of one chunk entry: its least only, so a trigger seen with one least document may still have more.
-        mixed |= several & (np.bincount(group_a)[group_a] > 1)
-    else:
-        mixed = (np.bincount(group_b)[group_b] > 1) & (kind == 2)
-    tell = np.flatnonzero(mixed | (least < sorted_doc) & (kind != 2))
-    to = owner[order[tell]]
-    by = np.argsort(to, kind="stable")
-    tell, to = tell[by], to[by]
-    rows = []
-    for x, i, j in _slices(to):
-        t = tell[i:j]
-        raw = own[order[t]].astype(np.uint32).tobytes() + _planes(least[t]) + mixed[t].astype(np.uint8).tobytes()
-        rows.append((int(chunks[x]), zstandard.ZstdCompressor(level=1).compress(raw)))
-    bucket = entries["bucket"][0].as_py()
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+def _bucket(a: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash; never falls where a rises."""
+    return ((a >> U64(32)) * U64(buckets)) >> U64(32)
+
+
+def _parts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of each run of equal numbers."""
+    if not len(bucket):
+        return []
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return list(zip(bucket[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True))
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
 
 
-def _slices(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    edge = np.flatnonzero(np.diff(x)) + 1
-    for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(x)], strict=True):
-        if j > i:
-            yield int(x[i]), i, j
+def _bits(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), count=n).astype(bool)
 
 
+def meet(entries: pa.Table, hot: int = HOT) -> pa.Table:
+    """One bucket of hashes: which of its phrases each chunk is not the first to have; which of its triggers have several
+    phrases in several chunks, and which are hot."""
+    out = []
+    for kind in (PHRASE, TRIGGER):
+        here = entries.filter(pc.equal(entries["kind"], kind))
+        if not here.num_rows:
+            continue
+        a, b, sizes = [], [], []
+        low_a, low_b = LOW[kind]
+        for blob in here["blob"]:
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8)
+            n = len(raw) // (16 - low_a - low_b)
+            a.append(_from_planes(raw, n, low_a))
+            b.append(_from_planes(raw[(8 - low_a) * n :], n, low_b))
+            sizes.append(n)
+        a, b, owner = np.concatenate(a), np.concatenate(b), np.repeat(np.arange(len(sizes)), sizes)
+        flags = _not_first(a, b, here["ord"].to_numpy()[owner]) if kind == PHRASE else _several(a, b, hot)
+        at = np.cumsum([0, *sizes])
+        for k, (chunk, bucket) in enumerate(zip(here["chunk"].to_pylist(), here["bucket"].to_pylist(), strict=True)):
+            mine = [f[at[k] : at[k + 1]] for f in flags]
+            if any(m.any() for m in mine):
+                out.append((chunk, kind, bucket, _squeeze(*[np.packbits(m).tobytes() for m in mine])))
+    return _table(out, REPLIES)
+
+
+def _by_pair(a: np.ndarray, b: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Order by (a, b, last).  Most values of a are alone, so only ties are looked at further."""
+    order = np.argsort(a)
+    s = a[order]
+    same = np.zeros(len(s) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    tied = np.flatnonzero(same[:-1] | same[1:])
+    if len(tied):
+        t = order[tied]
+        order[tied] = t[np.lexsort((last[t], b[t], a[t]))]
+    return order
+
+
+def _not_first(a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    order = _by_pair(a, b, rank)
+    a, b, rank = a[order], b[order], rank[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    out = np.empty(len(a), bool)
+    out[order] = rank > rank[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+    return [out]
+
+
+def _several(a: np.ndarray, b: np.ndarray, many: int) -> list[np.ndarray]:
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    start, group = np.flatnonzero(new), np.cumsum(new) - 1
+    count, fold = (b >> U64(24)) & U64(0xFF), b >> U64(32)
+    mixed = (np.bincount(group) > 1) & ((np.maximum.reduceat(count, start) > 1) | (np.minimum.reduceat(fold, start) != np.maximum.reduceat(fold, start)))
+    hot = mixed & (np.add.reduceat(count.astype(np.int64), start) > many)
+    out = [np.empty(len(a), bool), np.empty(len(a), bool)]
+    out[0][order], out[1][order] = mixed[group], hot[group]
+    return out
+
+
+def compare(entries: pa.Table, window: int) -> pa.Table:
+    """One bucket of the dictionary: for each chunk, which strings of the phrases that it sent stand in a chunk before it.
+    Slice by slice of the triggers: equal strings have equal triggers."""
+    chunks, ranks = entries["chunk"].to_pylist(), entries["ord"].to_numpy()
+    sent = []
+    for blob in entries["blob"]:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8)
+        head = raw[: 4 * SLICES].view(np.uint32).astype(np.int64)
+        size = raw[4 * SLICES : 4 * SLICES + 2 * head.sum()].view(np.uint16).astype(np.int64)
+        sent.append((np.cumsum([0, *head]), size, np.concatenate([[0], np.cumsum(size)]), raw[4 * SLICES + 2 * len(size) :]))
+    answers: list[list[np.ndarray]] = [[] for _ in sent]
+    for s in range(SLICES):
+        parts = [(data[at[head[s]] : at[head[s + 1]]], size[head[s] : head[s + 1]]) for head, size, at, data in sent]
+        data, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        strings = size - window + 1
+        owner, rank = spread(strings)
+        start = (np.cumsum(size) - size)[owner] + rank
+        each = np.array([int((p[1] - window + 1).sum()) for p in parts])
+        own = np.repeat(ranks, each)
+        hit = least_ranks(data, start, own, window) < own
+        for k, x in enumerate(np.split(hit, np.cumsum(each)[:-1])):
+            answers[k].append(x)
+    bucket = entries["bucket"][0].as_py()
+    flat = [np.concatenate(x) for x in answers]
+    return _table([(chunks[k], STRING, bucket, _squeeze(np.packbits(x).tobytes())) for k, x in enumerate(flat) if x.any()], REPLIES)
+
+
+# --- a chunk ----------------------------------------------------------------------------------------------------------
 class Chunk:
-    """The phrases of one chunk of documents and, where triggers are shared by several phrases, their suffixes."""
+    """The documents of one chunk, its distinct phrases and triggers."""
 
-    def __init__(self, table: pa.Table, buckets: int, window: int) -> None:
-        self.data, self.offsets = texts_of(table["_text"])
-        self.doc_id = table["_doc"].to_numpy()
+    def __init__(self, body: bytes, buckets: int, window: int) -> None:
+        self.batch = pa.ipc.open_stream(body).read_all()
+        self.data, self.offsets = texts_of(self.batch["_text"])
+        self.doc_id = self.batch["_doc"].to_numpy()
         self.window, self.buckets = window, buckets
-        self.doc, self.lo, self.hi, key, full, self.left, self.right = phrases(self.data, self.offsets, window)
-        self.phrase = Distinct(key, full, self.doc_id[self.doc], buckets, 0)
-
-    def sides(self, mixed: np.ndarray) -> tuple[Distinct, np.ndarray]:
-        """(distinct sides of the mixed phrases, the phrase that each stands for)."""
-        chosen = np.flatnonzero(mixed)
-        at = self.phrase.place[chosen]
-        side, owner = np.concatenate([self.left[at], self.right[at]]), np.tile(chosen, 2)
-        side, owner = side[side != 0], owner[side != 0]
-        return Distinct(side, side << U64(48), self.phrase.doc[owner], self.buckets, 2), owner
-
-    def shared(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """(least document of any chunk, whether its strings must be compared) for each distinct phrase."""
-        least, mixed = self.phrase.replied(replies)
-        sides, owner = self.sides(mixed)
-        _, elsewhere = sides.replied(replies)
-        near = elsewhere | (np.bincount(sides.which, minlength=len(sides.a)) > 1)
-        compare = np.zeros(len(mixed), bool)
-        compare[owner[near[sides.which]]] = True
-        return least, compare
-
-    def suffixes(self, mixed: np.ndarray) -> tuple[Distinct, np.ndarray, np.ndarray]:
-        """(distinct strings of the mixed phrases, their places' owners, where each mixed phrase's strings begin)."""
-        chosen = np.flatnonzero(mixed)
-        at = self.phrase.place[chosen]
+        self.doc, self.lo, self.hi, trigger, full, more, _ = phrases(self.data, self.offsets, window)
+        more &= TOP << U64(32)
+        doc = self.doc_id[self.doc]
+        order = _by_pair(full, more, doc)
+        full, more = full[order], more[order]
+        new = np.ones(len(full), bool)
+        new[1:] = (full[1:] != full[:-1]) | (more[1:] != more[:-1])
+        self.which = np.empty(len(full), np.int64)  # of each phrase of the parse, its number in the dictionary
+        self.which[order] = np.cumsum(new) - 1
+        self.place = order[new]  # where the dictionary's phrase stands first
+        self.full, self.more, self.least = full[new], more[new], doc[self.place]
+        self.trigger, self.of = np.unique(trigger[self.place] & TOP, return_inverse=True)
+        self.count = np.bincount(self.of, minlength=len(self.trigger))
+
+    def hashes(self, chunk: int, rank: int) -> list[tuple]:
+        fold = np.zeros(len(self.trigger), U64)
+        fold[self.of] = self.full & U64(0xFFFFFFFF00000000)
+        out = []
+        for kind, a, b in ((PHRASE, self.full, self.more), (TRIGGER, self.trigger, fold | (np.minimum(self.count, 255).astype(U64) << U64(24)))):
+            low_a, low_b = LOW[kind]
+            out += [(x, kind, chunk, rank, _squeeze(_planes(a[i:j], low_a), _planes(b[i:j], low_b))) for x, i, j in _parts(_bucket(a, self.buckets))]
+        return out
+
+    def told(self, replies: list[tuple]) -> None:
+        """Takes what buckets say of phrases and triggers.  replies: (kind, bucket, blob)."""
+        self.earlier, mixed, hot = np.zeros(len(self.full), bool), np.zeros(len(self.trigger), bool), np.zeros(len(self.trigger), bool)
+        parts = {kind: {x: (i, j) for x, i, j in _parts(_bucket(a, self.buckets))} for kind, a in ((PHRASE, self.full), (TRIGGER, self.trigger))}
+        for kind, bucket, blob in replies:
+            if kind in parts:
+                i, j = parts[kind][bucket]
+                wide = -(-(j - i) // 8) * 8
+                if kind == PHRASE:
+                    self.earlier[i:j] = _bits(blob, j - i)
+                else:
+                    both = _bits(blob, wide + j - i)
+                    mixed[i:j], hot[i:j] = both[: j - i], both[wide:]
+        ask = mixed[self.of] & ~self.earlier
+        self.asked, self.hot = np.flatnonzero(ask & ~hot[self.of]), np.flatnonzero(ask & hot[self.of])
+
+    def _strings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number in chosen, place) of every string of these phrases of the dictionary."""
+        at = self.place[chosen]
         owner, rank = spread(self.hi[at] - self.lo[at] + 1)
-        start = self.lo[at][owner] + rank
-        one, two, half = np.zeros(len(start), U64), np.zeros(len(start), U64), self.window // 2
-        for d, e in _blocks(self.offsets):
-            here = np.flatnonzero((start >= self.offsets[d]) & (start < self.offsets[e]))
-            prefix, p = prefix_hash(BYTE_VALUE[self.data[self.offsets[d] : self.offsets[e]]]), start[here] - self.offsets[d]
-            one[here] = span_hash(prefix, p, p + self.window)
-            two[here] = mix(span_hash(prefix, p, p + half) + U64(3) * span_hash(prefix, p + half, p + self.window))
-        first = np.full(len(mixed), -1, np.int64)
-        first[chosen] = np.cumsum(np.bincount(owner, minlength=len(chosen))) - np.bincount(owner, minlength=len(chosen))
-        return Distinct(one, two, self.phrase.doc[chosen][owner], self.buckets, 1), owner, first
-
-    def removed(self, replies: pa.Table) -> np.ndarray:
-        """Whether each byte is covered by a string that also starts in a smaller document."""
-        least, mixed = self.shared(replies)
-        own = self.doc_id[self.doc]
-        gone = least[self.phrase.which] < own
+        return owner, self.lo[at][owner] + rank
+
+    def sent(self) -> tuple[np.ndarray, ...]:
+        """(key, start, end, phrase, how far into it) of what goes to buckets of the dictionary, by key: whole phrases by
+        trigger, hot ones' strings by their hash."""
+        at = self.place[self.asked]
+        owner, place = self._strings(self.hot)
+        hashed = np.zeros(len(place), U64)
+        for d, e in _blocks(self.offsets) if len(place) else ():
+            here = np.flatnonzero((place >= self.offsets[d]) & (place < self.offsets[e]))
+            p = place[here] - self.offsets[d]
+            hashed[here] = span_hash(prefix_hash(BYTE_VALUE[self.data[self.offsets[d] : self.offsets[e]]]), p, p + self.window)
+        phrase = np.concatenate([self.asked, self.hot[owner]])
+        key = np.concatenate([mix(self.trigger[self.of[self.asked]]), hashed])
+        start, end = np.concatenate([self.lo[at], place]), np.concatenate([self.hi[at] + self.window, place + self.window])
+        order = np.argsort(key, kind="stable")
+        return tuple(x[order] for x in (key, start, end, phrase, start - self.lo[self.place[phrase]]))
+
+    def dictionary(self, chunk: int, rank: int) -> list[tuple]:
+        key, start, end, *_ = self.sent()
+        size, out = end - start, []
+        slices = _bucket(key, self.buckets * SLICES) % U64(SLICES)
+        for x, i, j in _parts(_bucket(key, self.buckets)):
+            owner, at = spread(size[i:j])
+            head = np.bincount(slices[i:j].astype(np.int64), minlength=SLICES)
+            out.append((x, STRING, chunk, rank, _squeeze(head.astype(np.uint32).tobytes(), size[i:j].astype(np.uint16).tobytes(), self.data[start[i:j][owner] + at].tobytes())))
+        return out
+
+    def removed(self, replies: list[tuple]) -> np.ndarray:
+        """Whether each byte is covered by a string that also starts in a document with a smaller key."""
         edge = np.zeros(len(self.data) + 1, np.int32)
+        own = self.doc_id[self.doc]
+        gone = self.earlier[self.which] | (self.least[self.which] < own)
         np.add.at(edge, self.lo[gone], 1)
         np.add.at(edge, self.hi[gone] + self.window, -1)
-        if mixed.any():
-            strings, _, first = self.suffixes(mixed)
-            string_least, _ = strings.replied(replies)
-            ask = np.flatnonzero(mixed[self.phrase.which] & ~gone)
-            owner, rank = spread(self.hi[ask] - self.lo[ask] + 1)
-            place = self.lo[ask][owner] + rank
-            hit = string_least[strings.which[first[self.phrase.which[ask]][owner] + rank]] < own[ask][owner]
-            np.add.at(edge, place[hit], 1)
-            np.add.at(edge, place[hit] + self.window, -1)
+        # Least key known for each string of the phrases that share theirs: FIRST where a chunk before has it.
+        several = (self.count > 1)[self.of] & ~self.earlier
+        several[self.asked] = several[self.hot] = True
+        chosen = np.flatnonzero(several)
+        chosen = chosen[np.argsort(self.of[chosen], kind="stable")]  # by trigger
+        owner, place = self._strings(chosen)
+        first = np.full(len(several), -1, np.int64)
+        size = np.bincount(owner, minlength=len(chosen))
+        first[chosen] = np.cumsum(size) - size
+        least = self.least[chosen][owner]
+        i, trigger = 0, self.of[chosen][owner]
+        while i < len(place):  # as many triggers at a time as make SORTED_AT_ONCE strings
+            j = min(len(place), i + SORTED_AT_ONCE)
+            j = int(np.searchsorted(trigger, trigger[j - 1], "right"))
+            least[i:j] = least_ranks(self.data, place[i:j], least[i:j], self.window)
+            i = j
+        if replies:
+            key, start, end, phrase, skip = self.sent()
+            parts = {x: (i, j) for x, i, j in _parts(_bucket(key, self.buckets))}
+            at = np.concatenate([[0], np.cumsum(end - start - self.window + 1)])
+            for _, bucket, blob in replies:
+                i, j = parts[bucket]
+                hit = np.flatnonzero(_bits(blob, int(at[j] - at[i]))) + at[i]
+                k = np.searchsorted(at, hit, "right") - 1
+                least[first[phrase[k]] + skip[k] + hit - at[k]] = FIRST
+        ask = np.flatnonzero(several[self.which] & ~gone)
+        owner, rank = spread(self.hi[ask] - self.lo[ask] + 1)
+        hit = least[first[self.which[ask]][owner] + rank] < own[ask][owner]
+        here = (self.lo[ask][owner] + rank)[hit]
+        np.add.at(edge, here, 1)
+        np.add.at(edge, here + self.window, -1)
         return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+# --- plan -------------------------------------------------------------------------------------------------------------
+class _Packer:
+    """Chunks of one range of rows that come in order of key."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.made, self.done = limit, 0, []
+        self.before, self.before_bytes = [], 0  # (batch, start, end) of whole keys
+        self.own, self.own_bytes = [], 0  # of the last key
+        self.key, self.alone = None, False
+
+    def add(self, batch: pa.RecordBatch, i: int, j: int, key: int, size: int) -> None:
+        """Rows of one key."""
+        if key != self.key:
+            first = self.key is None
+            self._turn()
+            self.key, self.alone = key, first  # a range's first key may have begun in the one before
+        if self.own and self.own_bytes + size > self.limit:  # more than a chunk of one key
+            self._close(self.before)
+            self._close(self.own)
+            self.before, self.before_bytes, self.own, self.own_bytes, self.alone = [], 0, [], 0, True
+        self.own.append((batch, i, j))
+        self.own_bytes += size
+
+    def _turn(self) -> None:
+        if self.alone:
+            self._close(self.own)
+        else:
+            for batch, i, j in self.own:
+                if self.before and self.before[-1][0] is batch and self.before[-1][2] == i:
+                    self.before[-1] = (batch, self.before[-1][1], j)
+                else:
+                    self.before.append((batch, i, j))
+            self.before_bytes += self.own_bytes
+            if self.before_bytes >= self.limit:
+                self._close(self.before)
+                self.before, self.before_bytes = [], 0
+        self.own, self.own_bytes = [], 0
+
+    def end(self) -> None:
+        """A range's last key may go on in the next one: its rows are alone too."""
+        self._close(self.before)
+        self._close(self.own)
+
+    def _close(self, parts: list[tuple]) -> None:
+        if parts:
+            t = pa.Table.from_batches([b.slice(i, j - i) for b, i, j in parts]).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+                w.write_table(t)
+            self.done.append(((TaskContext.get().partitionId() << 32) + self.made, t["_doc"][0].as_py(), sink.getvalue().to_pybytes()))
+            self.made += 1
+
+    def ready(self) -> Iterator[pa.RecordBatch]:
+        for row in self.done:
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.int64()), pa.array([row[2]], pa.binary())], ["chunk", "ord", "body"])
+        self.done = []
+
+
+def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    packer = _Packer(limit)
+    for b in batches:
+        doc, size = b.column("_doc").to_numpy(), b.column("_bytes").to_numpy()
+        b = b.drop_columns(["_bytes"])
+        edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist() if len(doc) else []
+        for i, end in zip(edge, [*edge[1:], len(doc)], strict=True):
+            while i < end:  # rows of one key, cut where they are many
+                j = i + 1 if end == i + 1 else i + max(1, int(np.searchsorted(np.cumsum(size[i:end]), limit, "right")))
+                packer.add(b, i, j, int(doc[i]), int(size[i:j].sum()))
+                i = j
+        yield from packer.ready()
+    packer.end()
+    yield from packer.ready()
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = False, drop_emptied: bool = False, hot: int = HOT) -> DataFrame:
     """Remove each byte covered by a `window`-byte string that also starts in a document with a smaller key.
 
     Texts are UTF-8 bytes; matches never cross documents; strings are judged on the input.  One row for each row:
     (key, n_bytes, n_removed, n_spans, kept_sha256), or with keep_text the columns of docs, `text` without what was
-    removed (a character stays whole if any of its bytes stays).  Null text is like an empty one (and stays null with
-    keep_text).  Null keys count as larger than all others; rows of equal keys don't take from each other.
+    removed (a character stays whole if any of its bytes stays).  Null text is like an empty one; with keep_text null and empty
+    texts stay as they are, and drop_emptied leaves out rows of which nothing is left.  Null keys count as larger than all others; rows of
+    equal keys, repeats included, don't take from each other.  Extra columns of any name are carried by number.  One text
+    longer than a chunk is a chunk alone.  hot: phrases of one trigger beyond which its strings are dealt out one by one.  An empty table gives an empty one.
     """
+    limit, bucket_bytes = CHUNK_BYTES, BUCKET_BYTES
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    chunks, buckets = total // CHUNK_BYTES + 1, total // BUCKET_BYTES + 1
-    carried = docs.columns if keep_text else [key]
-    rows = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)], F.col(text).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_doc"))
-    # Which chunk: by hash of row, so that each has its share of bytes; one long text is a chunk's at most as a whole.
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("_doc", "_text"), F.lit(chunks))).repartition("chunk")
-
-    def parse(table: pa.Table) -> pa.Table:
-        return Chunk(table, buckets, window).phrase.blobs(table["chunk"][0].as_py())
-
-    empty = pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
-
-    def side(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return empty
-        c = Chunk(left, buckets, window)
-        _, mixed = c.phrase.replied(right)
-        return c.sides(mixed)[0].blobs(left["chunk"][0].as_py()) if mixed.any() else empty
-
-    def suffix(left: pa.Table, right: pa.Table) -> pa.Table:
+    buckets = total // bucket_bytes + 1
+    carried = [c for c in docs.columns if c != text] if keep_text else [key]
+    rows = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)], F.col(text).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_doc"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_bytes"), F.spark_partition_id().alias("_salt"))
+    # Many rows of one key, null or not, are dealt to several ranges by what else they have.
+    dealt = rows.repartitionByRange(int(total // RANGE_BYTES + 1), "_doc", F.xxhash64("_text"), "_salt").sortWithinPartitions("_doc").drop("_salt")
+    packed = materialize(dealt.mapInArrow(lambda batches: _pack(batches, limit), PACKED), "chunks")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, rank, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                yield from _table(Chunk(body.as_buffer(), buckets, window).hashes(chunk, rank), ENTRIES).to_batches()
+
+    def told(left: pa.Table, right: pa.Table) -> tuple[Chunk, list[tuple]]:
+        replies = list(zip(*(right[c].to_pylist() for c in ("kind", "bucket", "blob")), strict=True))
+        c = Chunk(left["body"][0].as_buffer(), buckets, window)
+        c.told([r for r in replies if r[0] != STRING])
+        return c, [r for r in replies if r[0] == STRING]
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return empty
-        c = Chunk(left, buckets, window)
-        _, compare = c.shared(right)
-        return c.suffixes(compare)[0].blobs(left["chunk"][0].as_py()) if compare.any() else empty
+            return _table([], ENTRIES)
+        c, _ = told(left, right)
+        return _table(c.dictionary(left["chunk"][0].as_py(), left["ord"][0].as_py()), ENTRIES)
 
     out = docs.schema if keep_text else f"{key} {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Chunk(left, buckets, window)
-        gone = c.removed(right)
-        at, size = c.offsets, np.diff(c.offsets)
+        c, replies = told(left, right)
+        gone, at = c.removed(replies), c.offsets
         if keep_text:
             first = (c.data & 0xC0) != 0x80
-            char = np.cumsum(first) - 1
-            stays = np.bincount(char[~gone], minlength=int(first.sum())) > 0
-            keep = stays[char]
+            stays = np.bincount((np.cumsum(first) - 1)[~gone], minlength=int(first.sum())) > 0
+            keep = stays[np.cumsum(first) - 1]
             texts = [c.data[a:b][keep[a:b]].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)]
-            null = left["_text"].is_null().to_pylist()
-            columns = {name: left[f"_c{k}"] for k, name in enumerate(carried)}
+            null = c.batch["_text"].is_null().to_pylist()
+            columns = {name: c.batch[f"_c{k}"] for k, name in enumerate(carried)}
             columns[text] = pa.array([None if x else t for t, x in zip(texts, null, strict=True)], pa.string())
-            return pa.table(columns)
+            whole = pa.table({name: columns[name] for name in docs_columns})
+            return whole.filter(pa.array([bool(t) or a == b for t, a, b in zip(texts, at[:-1], at[1:], strict=True)])) if drop_emptied else whole
+        size = np.diff(at)
         total = np.concatenate([[0], np.cumsum(gone)])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         begins[at[:-1][size > 0]] = gone[at[:-1][size > 0]]
         spans = np.concatenate([[0], np.cumsum(begins)])
         kept = [hashlib.sha256(c.data[a:b][~gone[a:b]]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({key: left["_c0"], "n_bytes": pa.array(size), "n_removed": pa.array(total[at[1:]] - total[at[:-1]]), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]]), "kept_sha256": pa.array(kept, pa.string())})
+        return pa.table({key: c.batch["_c0"], "n_bytes": pa.array(size), "n_removed": pa.array(total[at[1:]] - total[at[:-1]]), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]]), "kept_sha256": pa.array(kept, pa.string())})
 
-    def met(entries: DataFrame, kind: int) -> DataFrame:
-        return entries.groupBy("bucket").applyInArrow(lambda t: match(t, kind), REPLIES)
+    docs_columns = docs.columns
 
-    def asked(f: Callable[[pa.Table, pa.Table], pa.Table], replies: DataFrame, schema: object = ENTRIES) -> DataFrame:
-        return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(f, schema)
+    def of_chunks(f: Callable[[pa.Table, pa.Table], pa.Table], replies: DataFrame, schema: object) -> DataFrame:
+        return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(f, schema)
 
-    by_trigger = met(rows.groupBy("chunk").applyInArrow(parse, ENTRIES), 0)
-    known = by_trigger.unionByName(met(asked(side, by_trigger), 2))
-    return asked(remove, known.unionByName(met(asked(suffix, known), 1)), out)
+    known = materialize(packed.mapInArrow(parse, ENTRIES).groupBy("bucket").applyInArrow(lambda t: meet(t, hot), REPLIES), "known")
+    shared = materialize(of_chunks(ask, known, ENTRIES).groupBy("bucket").applyInArrow(lambda t: compare(t, window), REPLIES), "shared")
+    return of_chunks(remove, known.unionByName(shared), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -350,6 +543,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a smaller document has too; those of which nothing stays go."""
-    out = dedup(docs, keep_text=True)
-    return out.filter("text IS NULL OR text <> ''").withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    """Documents without the passages that a smaller document has too; those of which nothing stays go.  Rows as dedup() has
+    them: null and empty texts and null ids stay, rows of one id don't take from each other; n_chars is counted anew."""
+    out = dedup(docs, keep_text=True, drop_emptied=True)
+    return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

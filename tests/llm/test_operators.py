@@ -122,6 +122,30 @@ def test_passages(spark, monkeypatch):
     assert kept.columns == df.columns and kept.count() == df.count() and kept.filter("text IS NULL").count() == 2
 
 
+@pytest.mark.parametrize(("chunk", "bucket", "hot"), [(3000, 5000, 1), (20000, 9000, 3)])
+def test_passages_of_hot_triggers_and_keys(spark, monkeypatch, chunk, bucket, hot):
+    """One trigger with many phrases is dealt out by strings; a key with a third of the rows lies in many chunks."""
+    for name, value in (("CHUNK_BYTES", chunk), ("RANGE_BYTES", 4 * chunk), ("BUCKET_BYTES", bucket)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    r = random.Random(8)
+    make = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    core, sides = make(30), [make(40) for _ in range(6)]
+    rows = [(None if i % 3 == 0 else i if i % 5 else i // 25, r.choice(sides)[r.randrange(30) :] + core + r.choice(sides)[: r.randrange(30)] + make(r.randrange(80))) for i in range(400)]
+    rows += [(i, make(60) + rows[i][1]) for i in range(0, 60, 2)] + [(-5, rows[7][1]), (-5, rows[7][1])]
+    assert got(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)) == passages(rows)
+
+
+def test_order_of_suffixes():
+    r = random.Random(9)
+    data = np.frombuffer(("".join(r.choice("ab") for _ in range(3000)) + "a" * 200).encode(), np.uint8)
+    start, rank = np.arange(3100), np.array([r.randrange(50) for _ in range(3100)])
+    for window in (5, 8, 16, 50):
+        order, new = suffix_dedup.ordered(data, start, rank, window)
+        text = data.tobytes()
+        keyed = [(text[i : i + window], int(rank[i])) for i in order]
+        assert keyed == sorted(keyed) and new.tolist() == [k == 0 or keyed[k][0] != keyed[k - 1][0] for k in range(len(keyed))]
+
+
 @pytest.mark.parametrize("size", [1, 1 << 20])
 def test_phrases_of_one_trigger_that_agree_in_half_of_their_hash(spark, monkeypatch, size):
     """Found among 400,000 random phrases around one trigger."""
