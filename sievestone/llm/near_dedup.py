@@ -6,7 +6,10 @@ there.  With about 1 / threshold branches, pairs below the threshold part compan
 stay together.  Nodes are split until they are small, then compared exhaustively; what stays large at the last level is
 a family of near copies and is compared in blocks that all hold its leaders.  Sketches only choose who meets whom: within
 a block, full shingle sets confirm links until what is linked is connected, so a family of m copies gives m links, not m
-squared.  Classes of a large node that its blocks leave outside its main component then meet all of its blocks.
+squared.  Where a large node is still in several components (copies of one template that are not quite near), its classes
+are joined by prefixes of their full sets: shingles in one order of about their frequency, rarest first, of which two sets above
+the threshold t share one that is among the first (1 - t) n + 1 of the larger set and the first (1 - 2 t / (1 + t)) n + 1
+of the other.  That join is exact, and classes that only have a template in common don't meet.
 """
 
 from __future__ import annotations
@@ -15,18 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, small_batches
+from .shared import bounded_broadcast, drop_materialized, materialize, small_batches
 from .textops import BYTE_VALUE, LOWER, NOT_SPACE, U64, mix, prefix_hash, runs, span_hash, spread, texts_of
 
-SIZE = 128  # coordinates of a sketch
+SIZE = 128  # coordinates of a sketch: 16 bits each where nodes are chosen, the lower 8 where sketches are compared
 TREES, LEVELS = 8, 6
 NODE, LEADERS = 64, 3  # classes that are compared exhaustively; those of a large node that are in all its blocks
 #: Pairs are proposed from this many standard deviations of the sketch's estimate below the threshold.
 SLACK = 3.3
+#: Counters by which the second join orders shingles; their sum is held by every task.
+COUNTERS = 1 << 16
 LAST = (1 << 63) - 1
 ROWS_PER_BIN, BYTES_PER_BIN = 20_000, 4 << 20
 _SEEDS = mix(np.arange(1, 2 * SIZE + 1, dtype=U64) * U64(0xA0761D6478BD642F)).astype(np.uint32)
@@ -66,13 +71,13 @@ def sketches(owner: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray,
     count = np.bincount(owner, minlength=n)
     full = np.flatnonzero(count)
     start = (np.cumsum(count) - count)[full]
-    one, two, sketch = np.zeros(n, U64), np.zeros(n, U64), np.zeros((n, SIZE), np.uint32)
+    one, two, sketch = np.zeros(n, U64), np.zeros(n, U64), np.zeros((n, SIZE), np.uint16)
     if len(full):
         one[full] = np.add.reduceat(mix(values + U64(11)), start)
         two[full] = np.add.reduceat(mix(values ^ U64(0xDEADBEEFCAFEF00D)), start)
         v = (values >> U64(32)).astype(np.uint32)
         for j in range(SIZE):
-            sketch[full, j] = np.minimum.reduceat((v ^ _ADD[j]) * _MUL[j], start)
+            sketch[full, j] = np.minimum.reduceat((v ^ _ADD[j]) * _MUL[j], start) & np.uint32(0xFFFF)
     return count, one, two, sketch
 
 
@@ -81,14 +86,17 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             data, offsets = texts_of(b.column(2))
             count, one, two, sketch = sketches(*shingle_sets(data, offsets, k), b.num_rows)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SIZE), b.num_rows, [None, pa.py_buffer(sketch)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), raw], ["doc", "th", "n", "one", "two", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _binary(sketch), _binary(sketch.astype(np.uint8))], ["doc", "th", "n", "one", "two", "wide", "sketch"])
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, n long, one long, two long, sketch binary")
+    return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, n long, one long, two long, wide binary, sketch binary")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIZE)
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.itemsize * SIZE), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _matrix(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, SIZE)
 
 
 def _children(nodes: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -106,11 +114,11 @@ def _children(nodes: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[
 
 
 def _branch(rows: DataFrame, root: bool, threshold: float) -> DataFrame:
-    """(node, v) one level below, each once by construction.  rows: (v, sketch), and node unless root."""
+    """(node, v) one level below, each once by construction.  rows: (v, wide), and node unless root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, sketch = b.column(0), _matrix(b.column(1))
+            v, sketch = b.column(0), _matrix(b.column(1), np.uint16)
             if root:
                 tree = np.repeat(mix(np.arange(1, TREES + 1, dtype=U64)), b.num_rows)
                 child, row = _children(tree, np.tile(sketch, (TREES, 1)), threshold)
@@ -119,29 +127,42 @@ def _branch(rows: DataFrame, root: bool, threshold: float) -> DataFrame:
                 child, row = _children(b.column(2).to_numpy().view(U64), sketch, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), v.take(pa.array(row))], ["node", "v"])
 
-    columns = ["v", "sketch"] + ([] if root else ["node"])
+    columns = ["v", "wide"] + ([] if root else ["node"])
     return rows.select(*columns).mapInArrow(run, "node long, v long")
 
 
+def _sized(rows: DataFrame, key: str, worth: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows of small groups, rows of large ones), each with its group's size; groups that are not `worth` it, one of a
+    kind, are left out.  Large groups are few: told first, their rows take no part in the shuffle join of the others."""
+    counts = materialize(rows.groupBy(key).agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.count_if("index").alias("indexed")).filter(worth).select(key, "size"), "sizes")
+    many = bounded_broadcast(counts.filter(F.col("size") > NODE))
+    large = materialize(rows.join(many, key), "large")
+    small = materialize(rows.join(many.select(key), key, "left_anti").join(counts.filter(F.col("size") <= NODE), key), "small")
+    drop_materialized(counts)
+    return small, large
+
+
 def _tree_nodes(classes: DataFrame, threshold: float) -> DataFrame:
     """(node, size, v): membership in the nodes that are compared.  Nodes of one class have nothing to compare."""
     found, now = None, _branch(classes, True, threshold)
     for level in range(1, LEVELS + 1):
         now = materialize(now, "level")
-        sized = now.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        now = materialize(now.join(sized, "node"), "nodes")
-        done = now if level == LEVELS else now.filter(F.col("size") <= NODE)
-        found = done if found is None else found.unionByName(done)
-        large = now.filter(F.col("size") > NODE)
-        if level == LEVELS or not large.head(1):
-            return found
-        now = _branch(large.join(classes.select("v", "sketch"), "v"), False, threshold)
+        small, large = _sized(now.withColumns({"component": F.col("v"), "index": F.lit(True)}), "node", F.col("size") > 1)
+        drop_materialized(now)
+        found = small if found is None else found.unionByName(small)
+        if not large.head(1):
+            break
+        if level == LEVELS:
+            found = found.unionByName(large)
+        else:
+            now = _branch(large.join(classes.select("v", "wide"), "v"), False, threshold)
+    return found.select("node", "size", "v")
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
     """(node, v, blocks, salt): a large node's classes are dealt to blocks of about NODE."""
     count = F.when(F.col("size") > NODE, F.ceil(F.col("size") / NODE)).otherwise(1)
-    return nodes.select("node", "v", count.alias("blocks")).withColumn("salt", F.pmod(F.xxhash64("v", "node"), F.col("blocks")))
+    return nodes.withColumn("blocks", count).drop("size").withColumn("salt", F.pmod(F.xxhash64("v", "node"), F.col("blocks")))
 
 
 def _led(blocks: DataFrame) -> DataFrame:
@@ -162,6 +183,7 @@ def _pairs(block: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarr
 
 def _alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut = threshold - SLACK * (threshold * (1 - threshold) / SIZE) ** 0.5
+    cut += (1 - cut) / 256  # coordinates of 8 bits that agree by chance
     likely = np.concatenate([np.zeros(0), *[(sketch[i[x : x + 8192]] == sketch[j[x : x + 8192]]).mean(1) for x in range(0, len(i), 8192)]])
     keep = likely >= cut
     return i[keep], j[keep], likely[keep]
@@ -182,6 +204,12 @@ class _Union:
         return x != y
 
 
+def _unlike(groups: DataFrame, key: str) -> DataFrame:
+    """Of groups that have the same classes, one."""
+    same = groups.groupBy(key).agg(F.count("*").alias("_n"), F.sum(F.xxhash64("v") % 1_000_000_007).alias("_one"), F.sum(F.xxhash64("v", F.lit(1)) % 1_000_000_009).alias("_two"))
+    return groups.join(same.groupBy("_n", "_one", "_two").agg(F.min(key).alias(key)).select(key), key)
+
+
 def _gathered(blocks: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """(block, v) of those that sketches put near another of their block, in groups that they connect; groups that several
     trees found alike are kept once."""
@@ -201,8 +229,7 @@ def _gathered(blocks: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     bins = blocks.count() // ROWS_PER_BIN + 1
     rows = blocks.join(classes.select("v", "n", "sketch"), "v").withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(bins)))
     found = materialize(rows.groupBy("bin").applyInArrow(run, "block long, v long"), "gathered")
-    alike = found.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.xxhash64("v") % 1_000_000_007).alias("one"), F.sum(F.xxhash64("v", F.lit(1)) % 1_000_000_009).alias("two"))
-    return found.join(alike.groupBy("n", "one", "two").agg(F.min("block").alias("block")).select("block"), "block")
+    return _unlike(found, "block")
 
 
 def _links(blocks: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
@@ -228,15 +255,18 @@ def _links(blocks: DataFrame, texts: DataFrame, k: int, numerator: int, denomina
         of = dict(zip(need.tolist(), which.tolist(), strict=True))
         # Vertices of a block's graph: (block, component), so that what is connected already counts as such.
         _, vertex = np.unique(np.stack([block, comp]), axis=1, return_inverse=True)
-        vertex, u, out = vertex.ravel().tolist(), _Union(), []
+        vertex, u, out, apart = vertex.ravel().tolist(), _Union(), [], set()
         for e in np.argsort(-likely, kind="stable").tolist():
             x, y = int(i[e]), int(j[e])
-            if u.root(vertex[x]) != u.root(vertex[y]):
+            pair = (of[x], of[y]) if of[x] < of[y] else (of[y], of[x])
+            if pair not in apart and u.root(vertex[x]) != u.root(vertex[y]):
                 s, t = sets[of[x]], sets[of[y]]
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if denominator * both >= numerator * (len(s) + len(t) - both):
                     u.join(vertex[x], vertex[y])
                     out.append((x, y))
+                else:
+                    apart.add(pair)  # blocks of several trees have the same pairs
         x, y = np.array(out, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.minimum(v[x], v[y]), "b": np.maximum(v[x], v[y])})
 
@@ -246,14 +276,65 @@ def _links(blocks: DataFrame, texts: DataFrame, k: int, numerator: int, denomina
     return rows.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
 
 
+def _prefixed(open_: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """(node, v, component, index): the shingles, as nodes, of which a class shares one with any class it is linked to, where
+    one of the two has it by its shorter prefix (index).
+
+    Shingles are ordered by a count of their hash's last bits over all sets here, then by hash: any one order for all
+    gives exactly the pairs above the threshold, and rare ones first keeps the groups small."""
+    rows = open_.join(texts.select("v", "text"), "v")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            total += np.bincount((shingle_sets(*texts_of(b.column(0)), k)[1] % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    counts = np.zeros(COUNTERS, np.int64)
+    for at, n in rows.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # COUNTERS rows at most
+        counts[at] = n
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, values = shingle_sets(*texts_of(b.column(2)), k)
+            order = np.lexsort((values, counts[(values % U64(COUNTERS)).astype(np.int64)], owner))
+            size = np.bincount(owner, minlength=b.num_rows)
+            rank = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+            first = rank <= (size + (-size * numerator) // denominator)[owner]  # n - ceil(n * threshold) + 1 of them
+            row = pa.array(owner[first])
+            index = rank <= (size + (-2 * size * numerator) // (denominator + numerator))[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(values[order][first].view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(index[first])], ["node", "v", "component", "index"])
+
+    return rows.select("v", "component", "text").mapInArrow(prefix, "node long, v long, component long, index boolean")
+
+
+def _second(blocks: DataFrame) -> DataFrame:
+    """(block, v, component): of a large group what is not in its main component meets all its blocks, the rest what comes
+    to its own.  blocks: (node, v, component, blocks, salt)."""
+    large = blocks.filter("blocks > 1")
+    sizes = large.groupBy("node", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    again = large.join(main, "node")
+    minor = again.filter("component <> main").withColumn("salt", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    both = again.filter("component = main").unionByName(minor).drop("main").unionByName(blocks.filter("blocks = 1"))
+    return both.select(F.xxhash64("node", "salt").alias("block"), "v", "component").distinct()
+
+
 def near_dups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: (key, n_shingles, component_id, kept).
 
     Documents are linked if denominator * intersection >= numerator * union of their sets of distinct k-word shingles
     (A-Z lower-cased, words of no white space); component_id is the smallest key reachable by links.  A document
     without words, or null, is linked with nothing; null keys count as larger than others (a component of
-    null keys alone has a null id).  Rows of one key are judged by their own texts.  A pair at the threshold is missed if
-    its sketch is over SLACK deviations off (one in two thousand) or no tree brings it together (far rarer).
+    null keys alone has a null id).  Rows of one key are judged by their own texts, repeated rows are one class; an empty table
+    gives an empty one.  Long texts are read whole.
+
+    Every link reported is exact.  A pair at the threshold can be missed: its sketch is over SLACK deviations off (one in two
+    thousand), or no tree brings it together.  A pair that few others are near meets in most trees; in a family larger than a
+    node a tree of six levels keeps it with about one half, so eight trees miss 0.2 to 0.5 % of such pairs, each of
+    which matters only where no chain of other links joins the two; where such a family falls apart, all its classes that are
+    left in large nodes are joined exactly.
     """
     signed, member = _members(docs, k, numerator, denominator, key, text)
     least = member.groupBy("component").agg(F.min("doc").alias("component_id"))
@@ -271,13 +352,13 @@ def _members(docs: DataFrame, k: int, numerator: int, denominator: int, key: str
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     signed = materialize(_signatures(rows, k), "signatures")
-    grouped = signed.filter("n > 0").withColumn("v", F.xxhash64("one", "two", "n")).groupBy("v").agg(F.min(F.struct("doc", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(grouped.select("v", "rep.doc", "rep.th", "n", "sketch"), "classes")
+    grouped = signed.filter("n > 0").withColumn("v", F.xxhash64("one", "two", "n")).groupBy("v").agg(F.min(F.struct("doc", "th")).alias("rep"), F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("sketch").alias("sketch"))
+    classes = materialize(grouped.select("v", "rep.doc", "rep.th", "n", "wide", "sketch"), "classes")
     blocks = materialize(_blocks(_tree_nodes(classes, threshold)), "members")
     near = materialize(_gathered(_led(blocks), classes, threshold), "near")
 
-    # Texts of the classes that have another near them: all that either round can ask for.
-    asked = near.select("v").distinct().join(classes, "v")
+    # Texts of the classes that have another near them or are in a large node: all that either round can ask for.
+    asked = near.select("v").unionByName(blocks.filter("blocks > 1").select("v")).distinct().join(classes.drop("wide"), "v")
     texts = rows.join(asked, ["doc", "th"]).select("v", "n", F.octet_length("text").alias("bytes"), "sketch", "text", "doc", "th").dropDuplicates(["doc", "th"]).drop("doc", "th")  # as the join has dealt them: no second shuffle
     texts = materialize(texts, "texts")
     # Trees find much the same groups.  A third of the blocks connects most of them; of the rest, only blocks that still
@@ -288,14 +369,20 @@ def _members(docs: DataFrame, k: int, numerator: int, denominator: int, key: str
     apart = rest.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("block")
     links = materialize(links.unionByName(_links(materialize(rest.join(apart, "block"), "apart"), texts, k, numerator, denominator)), "links")
 
-    large = blocks.filter("blocks > 1").join(texts.select("v"), "v", "left_semi").join(components(links), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    main = large.groupBy("node").agg(F.mode("component", deterministic=True).alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("node", "main")
-    again = large.join(main, "node")
-    # What is not in a large node's main component meets all its blocks; the rest meets what comes to its own.
-    minor = again.filter("component <> main").withColumn("salt", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    second = again.filter("component = main").unionByName(minor).select(F.xxhash64("node", "salt").alias("block"), "v", "component").distinct()
-    more = materialize(_links(materialize(second, "open"), texts, k, numerator, denominator), "links")
-    joined = components(links.unionByName(more))
+    drop_materialized(near)
+
+    large = blocks.filter("blocks > 1").join(components(links), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    several = large.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("node")
+    left_open = materialize(large.join(several, "node", "left_semi").select("v", "component").distinct(), "open")
+    drop_materialized(blocks)
+    if left_open.head(1):
+        prefixes = materialize(_prefixed(left_open, texts, k, numerator, denominator), "prefixes")
+        small, many = _sized(prefixes, "node", (F.col("low") != F.col("high")) & (F.col("indexed") > 0))
+        drop_materialized(prefixes)
+        second = materialize(_second(_blocks(_unlike(small, "node").unionByName(many))), "second")
+        links = links.unionByName(materialize(_links(second, texts, k, numerator, denominator), "links"))
+    drop_materialized(texts)
+    joined = components(links)
 
     return signed, classes.select("v", "doc", "th").join(joined, "v", "left").withColumn("component", F.coalesce("component", "v"))
 

@@ -272,6 +272,24 @@ def test_near_duplicates(spark, monkeypatch, k, percent, node):
     assert found == want
 
 
+def test_near_duplicates_of_a_template(spark):
+    """Pairs below the threshold that all share a template, with a near copy here and there: none is linked but those, and what
+    is compared again grows with the documents, not with their pairs."""
+    r = random.Random(1)
+    base, rows = [f"w{r.randrange(5000)}" for _ in range(300)], []
+    for i in range(160):
+        rows.append((i, " ".join([*(f"x{i}_{j}" for j in range(36)), *base[36:]])))
+    for i in range(0, 160, 10):
+        words = rows[i][1].split(" ")
+        words[150], words[-1] = f"z{i}", f"y{i}"
+        rows.append((1000 + i, " ".join(words)))
+    assert got(near_dedup.near_dups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)) == groups(rows, 3, 85)
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "v long, text string")
+    prefixes = near_dedup._prefixed(texts.select("v", texts.v.alias("component")), texts, 3, 85, 100)
+    met = [x["n"] for x in prefixes.groupBy("node").agg({"v": "count", "index": "max"}).filter("`max(index)`").withColumnRenamed("count(v)", "n").collect()]
+    assert sum(n for n in met if n > 1) <= 40 * len(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_dups(frame(spark).limit(0)).count() == 0
 
