@@ -25,13 +25,15 @@ from .components import components
 from .shared import bounded_broadcast, drop_materialized, materialize, small_batches
 from .textops import BYTE_VALUE, LOWER, NOT_SPACE, U64, mix, prefix_hash, runs, span_hash, spread, texts_of
 
-SIZE = 128  # coordinates of a sketch: 16 bits each where nodes are chosen, the lower 8 where sketches are compared
-TREES, LEVELS = 8, 6
+SIZE = 128  # coordinates of a sketch: 16 bits each where nodes are chosen, the lower 2 where sketches are compared
+TREES, LEVELS = 8, 4
 NODE, LEADERS = 64, 3  # classes that are compared exhaustively; those of a large node that are in all its blocks
 #: Pairs are proposed from this many standard deviations of the sketch's estimate below the threshold.
 SLACK = 3.3
 #: Counters by which the second join orders shingles; their sum is held by every task.
 COUNTERS = 1 << 16
+#: Bits of the filter that leaves out most texts that are not asked for: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 LAST = (1 << 63) - 1
 ROWS_PER_BIN, BYTES_PER_BIN = 20_000, 4 << 20
 _SEEDS = mix(np.arange(1, 2 * SIZE + 1, dtype=U64) * U64(0xA0761D6478BD642F)).astype(np.uint32)
@@ -86,17 +88,23 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             data, offsets = texts_of(b.column(2))
             count, one, two, sketch = sketches(*shingle_sets(data, offsets, k), b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _binary(sketch), _binary(sketch.astype(np.uint8))], ["doc", "th", "n", "one", "two", "wide", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _binary(sketch), _binary(_narrow(sketch))], ["doc", "th", "n", "one", "two", "wide", "sketch"])
 
     return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, n long, one long, two long, wide binary, sketch binary")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.itemsize * SIZE), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.itemsize * rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
-def _matrix(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, SIZE)
+def _narrow(sketch: np.ndarray) -> np.ndarray:
+    """The lower two bits of every coordinate, 32 to a 64-bit number."""
+    parts = (sketch & 3).astype(U64).reshape(len(sketch), SIZE // 32, 32) << np.arange(0, 64, 2, dtype=U64)
+    return np.bitwise_or.reduce(parts, axis=2)
+
+
+def _matrix(column: pa.Array, width: int, kind: type = U64) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def _children(nodes: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +126,7 @@ def _branch(rows: DataFrame, root: bool, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, sketch = b.column(0), _matrix(b.column(1), np.uint16)
+            v, sketch = b.column(0), _matrix(b.column(1), SIZE, np.uint16)
             if root:
                 tree = np.repeat(mix(np.arange(1, TREES + 1, dtype=U64)), b.num_rows)
                 child, row = _children(tree, np.tile(sketch, (TREES, 1)), threshold)
@@ -182,9 +190,12 @@ def _pairs(block: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarr
 
 
 def _alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cut = threshold - SLACK * (threshold * (1 - threshold) / SIZE) ** 0.5
-    cut += (1 - cut) / 256  # coordinates of 8 bits that agree by chance
-    likely = np.concatenate([np.zeros(0), *[(sketch[i[x : x + 8192]] == sketch[j[x : x + 8192]]).mean(1) for x in range(0, len(i), 8192)]])
+    expected = threshold + (1 - threshold) / 4  # two bits agree by chance in a quarter of the rest
+    cut = expected - SLACK * (expected * (1 - expected) / SIZE) ** 0.5
+    likely = np.zeros(len(i))
+    for x in range(0, len(i), 65536):
+        differ = sketch[i[x : x + 65536]] ^ sketch[j[x : x + 65536]]
+        likely[x : x + 65536] = 1 - np.bitwise_count((differ | (differ >> U64(1))) & U64(0x5555555555555555)).sum(1) / SIZE
     keep = likely >= cut
     return i[keep], j[keep], likely[keep]
 
@@ -217,7 +228,7 @@ def _gathered(blocks: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     def run(table: pa.Table) -> pa.Table:
         block, v, n = (table[c].to_numpy() for c in ("block", "v", "n"))
         order = np.lexsort((v, block))
-        block, v, n, sketch = block[order], v[order], n[order], _matrix(table["sketch"].combine_chunks())[order]
+        block, v, n, sketch = block[order], v[order], n[order], _matrix(table["sketch"].combine_chunks(), SIZE // 32)[order]
         i, j, _ = _alike(sketch, *_pairs(block, n, threshold), threshold)
         u = _Union()
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
@@ -242,7 +253,7 @@ def _links(blocks: DataFrame, texts: DataFrame, k: int, numerator: int, denomina
         block, v, n, comp = (table[c].to_numpy() for c in ("block", "v", "n", "component"))
         order = np.lexsort((v, block))
         table = table.take(pa.array(order))
-        block, v, n, comp, sketch = block[order], v[order], n[order], comp[order], _matrix(table["sketch"].combine_chunks())
+        block, v, n, comp, sketch = block[order], v[order], n[order], comp[order], _matrix(table["sketch"].combine_chunks(), SIZE // 32)
         i, j = _pairs(block, n, threshold)
         new = comp[i] != comp[j]
         i, j, likely = _alike(sketch, i[new], j[new], threshold)
@@ -276,6 +287,16 @@ def _links(blocks: DataFrame, texts: DataFrame, k: int, numerator: int, denomina
     return rows.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
 
 
+def _maybe(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose text hash may be asked for, by one bit for each: a bitmap of FILTER_BITS in parts of 4 KB, which is
+    broadcast.  Where it fills up, more rows pass; the join that follows tells exactly."""
+    place = lambda th: F.pmod(th, F.lit(FILTER_BITS))
+    maps = asked.select(place(F.col("th")).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
+    at = F.bitmap_bit_position(place(F.col("th")))
+    byte = F.conv(F.hex(F.substring("map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("part", F.bitmap_bucket_number(place(F.col("th")))).join(F.broadcast(maps), "part").filter(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).drop("part", "map")
+
+
 def _prefixed(open_: DataFrame, texts: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
     """(node, v, component, index): the shingles, as nodes, of which a class shares one with any class it is linked to, where
     one of the two has it by its shorter prefix (index).
@@ -332,7 +353,7 @@ def near_dups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int
 
     Every link reported is exact.  A pair at the threshold can be missed: its sketch is over SLACK deviations off (one in two
     thousand), or no tree brings it together.  A pair that few others are near meets in most trees; in a family larger than a
-    node a tree of six levels keeps it with about one half, so eight trees miss 0.2 to 0.5 % of such pairs, each of
+    node a tree of four levels keeps it with somewhat over one half, so eight trees miss 0.2 % of such pairs at most, each of
     which matters only where no chain of other links joins the two; where such a family falls apart, all its classes that are
     left in large nodes are joined exactly.
     """
@@ -359,7 +380,7 @@ def _members(docs: DataFrame, k: int, numerator: int, denominator: int, key: str
 
     # Texts of the classes that have another near them or are in a large node: all that either round can ask for.
     asked = near.select("v").unionByName(blocks.filter("blocks > 1").select("v")).distinct().join(classes.drop("wide"), "v")
-    texts = rows.join(asked, ["doc", "th"]).select("v", "n", F.octet_length("text").alias("bytes"), "sketch", "text", "doc", "th").dropDuplicates(["doc", "th"]).drop("doc", "th")  # as the join has dealt them: no second shuffle
+    texts = _maybe(rows, asked).join(asked, ["doc", "th"]).select("v", "n", F.octet_length("text").alias("bytes"), "sketch", "text", "doc", "th").dropDuplicates(["doc", "th"]).drop("doc", "th")  # as the join has dealt them: no second shuffle
     texts = materialize(texts, "texts")
     # Trees find much the same groups.  A third of the blocks connects most of them; of the rest, only blocks that still
     # have several components need their texts.
