@@ -12,8 +12,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Host-level rules: a document fails with more symbols than this part of its words, or this part of its lines repeated.
 SYMBOL_RATIO, DUP_LINE_RATIO = 0.5, 0.5
-#: A host is rejected where the shrunken rate of any rule's failures exceeds this.
-HOST_RATE = 0.9
+#: A host is rejected where the shrunken rate of any rule's failures lies so many standard deviations of the fitted prior above
+#: its mean, and the rule fails most of the host's documents; above the last rate it always is.
+HOST_DEVIATIONS, HOST_LOW, HOST_RATE = 3, 0.5, 0.9
 RULES = ("base_failed", "symbols_failed", "lines_failed")
 
 
@@ -39,7 +40,9 @@ def _share(a: str, part: float, b: str) -> Column:
 
 def host_verdicts(stats: DataFrame, host: str = "source") -> DataFrame:
     """(host_key, host_rejected): each rule's failure rate for each host, shrunk toward a beta prior that is fitted to the
-    hosts' own rates by moments, so that a host of few documents is judged mostly by what hosts are like."""
+    hosts' own rates by moments, so that a host of few documents is judged mostly by what hosts are like.  What rate is too
+    high comes from the prior too: where hosts are alike, one that fails in most of its documents is far off; where many
+    hosts fail often, only one that almost always does is."""
     hosts = stats.groupBy(F.col(host).alias("host_key")).agg(F.count("*").alias("n"), *[F.count_if(F.col(r)).alias(r) for r in RULES])
     moments = hosts.agg(*[x for r in RULES for x in (F.avg(F.col(r) / F.col("n")).alias(f"{r}_m"), F.var_pop(F.col(r) / F.col("n")).alias(f"{r}_v"))])
     rejected = F.lit(False)
@@ -47,7 +50,8 @@ def host_verdicts(stats: DataFrame, host: str = "source") -> DataFrame:
     for r in RULES:
         m, v = F.col(f"{r}_m"), F.col(f"{r}_v")
         weight = F.when((v > 0) & (m > 0) & (m < 1), F.greatest(m * (1 - m) / v - 1, F.lit(1.0))).otherwise(F.lit(1.0))
-        rejected = rejected | ((F.col(r) + m * weight) / (F.col("n") + weight) > HOST_RATE)
+        bound = F.least(F.lit(HOST_RATE), F.greatest(F.lit(HOST_LOW), m + HOST_DEVIATIONS * F.sqrt(m * (1 - m) / (weight + 1))))
+        rejected = rejected | ((F.col(r) + m * weight) / (F.col("n") + weight) > bound)
     return joined.select("host_key", F.coalesce(rejected, F.lit(False)).alias("host_rejected"))
 
 
@@ -101,7 +105,7 @@ h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS b, count(*)
 u AS (SELECT source, unnest([b, y, l]) AS k, unnest([1, 2, 3]) AS rule, n FROM h),
 m AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM u GROUP BY rule),
 p AS (SELECT rule, m, CASE WHEN v > 0 AND m > 0 AND m < 1 THEN greatest(m * (1 - m) / v - 1, 1) ELSE 1 END AS weight FROM m),
-v AS (SELECT source, bool_or((k + m * weight) / (n + weight) > 0.9) AS host_rejected FROM u JOIN p USING (rule) GROUP BY source)
+v AS (SELECT source, bool_or((k + m * weight) / (n + weight) > least(0.9, greatest(0.5, m + 3 * sqrt(m * (1 - m) / (weight + 1))))) AS host_rejected FROM u JOIN p USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected, NOT base_failed AND NOT host_rejected AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
