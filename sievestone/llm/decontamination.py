@@ -13,13 +13,17 @@ from .shared import small_batches
 from .textops import BYTE_VALUE, LOWER, U64, WORD, mix, prefix_hash, runs, span_hash, spread, texts_of
 
 SIMILARITY = 0.8
-#: Items of fewer words can't be told from ordinary text and are not looked for.
+#: Items of fewer words can't be told from ordinary text: leaks() reports where they stand, clean() removes nothing for them.
 MIN_WORDS = 5
-#: Independent embeddings, and how many symbols of each are sampled: a window is a candidate if one embedding's agree.
-REPEATS, SAMPLED = 24, 2
-#: Items in one index, which every task holds; more are looked for in several passes.
-ITEMS_AT_ONCE = 20_000
-_STEP = U64(0x9E3779B97F4A7C15)
+#: Items of fewer words have too few windows to sample: they are looked for by unchanged pieces, exactly.
+SHORT_WORDS = 12
+#: Hash tables, each of its own embedding; steps of the walk that may be sampled, and how many of them are.
+REPEATS, STEPS, SAMPLED = 6, 13, 6
+#: Words of items in one index, which every task holds (about 100 bytes each); more are looked for in several passes.
+ITEM_WORDS = 200_000
+#: Cells of the edit tables that are filled at a time.
+CELLS = 1 << 20
+_SEED = U64(0x9E3779B97F4A7C15)
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,66 +43,92 @@ def _grams(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def walked(words: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the sampled symbols, how many words on the walk's last sample stands) of embedding `repeat` of the windows that
+    begin at every word.
+
+    The CGK walk writes the symbol it stands at and moves on if a random bit of (embedding, step, symbol) says so: edits
+    become few differing places, since after an edit two walks soon stand at the same symbols again.  Of its places SAMPLED
+    among the first STEPS are read; a window begins at every word, so later places are read by later windows."""
+    n = len(words)
+    bits = np.zeros(n + STEPS, np.uint16)
+    bits[:n] = mix(words ^ mix(np.array([repeat + 1], U64) * _SEED)) >> U64(64 - STEPS)
+    symbols = np.concatenate([words, np.zeros(STEPS, U64)])
+    picks = np.sort(np.argsort(mix(np.arange(STEPS, dtype=U64) + U64(1000 * (repeat + 1))))[:SAMPLED]).tolist()
+    start = np.arange(n)
+    at, out = start.copy(), np.full(n, U64(repeat + 1), U64)
+    for j in range(picks[-1] + 1):
+        if j in picks:
+            out *= U64(0xD6E8FEB86659FD93)
+            out += symbols[at]
+        if j < picks[-1]:
+            at += ((bits >> j) & 1).astype(np.int8)[at]
+    return mix(out), at - start
+
+
+class Table:
+    """Hashes with the item and the word in it that each belongs to, by hash; a bitmap tells most others off."""
+
+    def __init__(self, hashes: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.item, self.offset = hashes[order], item[order], offset[order]
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.hashes >> U64(42)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of hashes, item, offset) of all that are equal."""
+        at = np.flatnonzero(self.seen[(hashes >> U64(42)).astype(np.int64)])
+        low, high = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
+        owner, rank = spread(high - low)
+        which = low[owner] + rank
+        return at[owner], self.item[which], self.offset[which]
+
+
 class Index:
-    """Items' words, and their pieces: within k edits of an item of m words, one of k + 1 pieces of it is unchanged, so a
-    window without any can't match.  That gate only saves the embedding of windows that are sure to fail."""
+    """Items' words, hash tables of the sampled embeddings of their windows, and the pieces of short items: within k edits of an
+    item, one of k + 1 pieces of it is unchanged."""
 
     def __init__(self, ids: list, words: np.ndarray, at: np.ndarray, similarity: float) -> None:
         self.ids, self.words, self.at = ids, words, at
         self.size = np.diff(at)
         self.edits = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
+        item, offset = spread(self.size)
+        self.tables = []
+        for r in range(REPEATS):
+            hashes, seen = walked(words, r) if len(words) else (words, offset)
+            own = (self.size[item] >= SHORT_WORDS) & (offset + seen < self.size[item])
+            self.tables.append(Table(hashes[own], item[own], offset[own]))
         rows: dict[int, list[tuple[int, int, int]]] = {}
-        for i, (m, k) in enumerate(zip(self.size.tolist(), self.edits.tolist(), strict=True)):
+        for i in np.flatnonzero((self.size > 0) & (self.size < SHORT_WORDS)).tolist():
+            m, k = int(self.size[i]), int(self.edits[i])
             for p in range(k + 1):
                 a, b = p * m // (k + 1), (p + 1) * m // (k + 1)
-                g = int(_grams(words[at[i] + a : at[i] + b], b - a)[0])
-                rows.setdefault(b - a, []).append((g, i, a))
-        self.pieces = {}
-        for size, r in rows.items():
-            r.sort()
-            hashes = np.array([x[0] for x in r], U64)
-            seen = np.zeros(1 << 20, bool)
-            seen[(hashes >> U64(44)).astype(np.int64)] = True
-            self.pieces[size] = (hashes, np.array([x[1] for x in r]), np.array([x[2] for x in r]), seen)
-
-    def windows(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, start) of every window that the gate lets through."""
-        found = []
-        for size, (hashes, item, offset, seen) in self.pieces.items():
-            grams = _grams(words, size)
-            at = np.flatnonzero(seen[(grams >> U64(44)).astype(np.int64)])
-            low, high = np.searchsorted(hashes, grams[at], "left"), np.searchsorted(hashes, grams[at], "right")
-            owner, rank = spread(high - low)
-            place, which = at[owner], low[owner] + rank
-            doc = np.searchsorted(offsets, place, "right") - 1
-            inside = place + size <= offsets[doc + 1]
-            found.append((doc[inside], item[which[inside]], place[inside] - offset[which[inside]]))
-        doc, item, start = (np.concatenate(x) for x in zip(*found, strict=True))
-        owner, rank = spread(2 * self.edits[item] + 1)
-        doc, item, start = doc[owner], item[owner], start[owner] + rank - self.edits[item][owner]
-        start = np.clip(start, offsets[doc], np.maximum(offsets[doc], offsets[doc + 1] - 1))
-        order = np.lexsort((start, item, doc))
-        doc, item, start = doc[order], item[order], start[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
-        return doc[new], item[new], start[new]
+                rows.setdefault(b - a, []).append((int(_grams(words[at[i] + a : at[i] + b], b - a)[0]), i, a))
+        self.pieces = {size: Table(np.array([x[0] for x in r], U64), np.array([x[1] for x in r]), np.array([x[2] for x in r])) for size, r in rows.items()}
 
     def candidates(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of which some embedding agrees with their item's in the sampled places."""
-        doc, item, start = self.windows(words, offsets)
-        if not len(doc):
-            return doc, item, start
-        m = self.size[item]
-        good = np.zeros(len(doc), bool)
-        items, back = np.unique(item, return_inverse=True)
-        for r in range(REPEATS):
-            left = np.flatnonzero(~good)
-            if not len(left):
-                break
-            window = embedded(words, start[left], np.minimum(m[left], offsets[doc[left] + 1] - start[left]), m[left], r)
-            own = embedded(self.words, self.at[items], self.size[items], self.size[items], r)
-            good[left] = window == own[back[left]]
-        return doc[good], item[good], start[good]
+        """(document, item, about where the item would start) of what hash tables and pieces propose.  Starts are rounded down to
+        multiples of the item's edits and one: proposals of one place are one."""
+        found = []
+        if len(words):
+            for r, table in enumerate(self.tables):
+                hashes, seen = walked(words, r)
+                found.append((seen, *table.find(hashes)))
+            for size, table in self.pieces.items():
+                found.append((np.full(len(words), size - 1), *table.find(_grams(words, size))))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        doc, item, start = [], [], []
+        for seen, place, i, offset in found:
+            d = np.searchsorted(offsets, place, "right") - 1
+            inside = place + seen[place] < offsets[d + 1]
+            doc.append(d[inside])
+            item.append(i[inside])
+            start.append((place - offset)[inside])
+        doc, item, start = np.concatenate(doc), np.concatenate(item), np.concatenate(start)
+        start = (start - offsets[doc]) // (self.edits[item] + 1) * (self.edits[item] + 1) + offsets[doc]
+        key = np.unique(np.stack([doc, item, start]), axis=1)
+        return key[0], key[1], key[2]
 
     def matches(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, least edit distance) of the pairs within the item's edits, by exact comparison."""
@@ -106,9 +136,17 @@ class Index:
         if not len(doc):
             return doc, item, start
         k = self.edits[item]
+        # An item's start is off by its edits at most, before or behind what an agreeing place says, and by the rounding.
         low = np.maximum(offsets[doc], start - k)
-        high = np.minimum(offsets[doc + 1], start + self.size[item] + k)
-        distance = np.concatenate([substring_distance(self.words, self.at[item[x : x + 4096]], self.size[item[x : x + 4096]], words, low[x : x + 4096], high[x : x + 4096]) for x in range(0, len(doc), 4096)])
+        high = np.minimum(offsets[doc + 1], start + self.size[item] + 3 * k + 1)
+        distance, x = np.zeros(len(doc), np.int64), 0
+        order = np.argsort(self.size[item], kind="stable")  # like sizes together
+        while x < len(order):
+            y = min(len(order), x + 4096)
+            y = x + max(1, min(y - x, CELLS // int((high - low)[order[x:y]].max() + 1)))
+            e = order[x:y]
+            distance[e] = substring_distance(self.words, self.at[item[e]], self.size[item[e]], words, low[e], high[e])
+            x = y
         near = distance <= k
         doc, item, distance = doc[near], item[near], distance[near]
         order = np.lexsort((distance, item, doc))
@@ -118,77 +156,71 @@ class Index:
         return doc[new], item[new], distance[new]
 
 
-def embedded(words: np.ndarray, start: np.ndarray, size: np.ndarray, m: np.ndarray, repeat: int) -> np.ndarray:
-    """The sampled symbols, as one hash, of the CGK random walk over words[start : start + size].
-
-    A walk of 3 m steps: step j writes the symbol it stands at and moves on if a random bit of (repeat, j, symbol) says
-    so; behind the end it writes 0.  Which steps are sampled depends on repeat and m alone."""
-    at = np.zeros(len(start), np.int64)
-    out = np.zeros(len(start), U64)
-    seed = mix(np.array([repeat + 1], U64) * _STEP)[0]
-    picks = [(mix(m.astype(U64) * U64(0xA0761D6478BD642F) ^ mix(np.array([seed + U64(s)], U64))) % np.maximum(3 * m, 1).astype(U64)).astype(np.int64) for s in range(SAMPLED)]
-    for j in range(int(max((p.max() for p in picks), default=-1)) + 1):
-        symbol = np.where(at < size, words[np.minimum(start + at, len(words) - 1)], U64(0))
-        for p in picks:
-            hit = p == j
-            out[hit] = mix(out[hit] * U64(3) + symbol[hit])
-        at += (mix(symbol ^ mix(np.array([int(seed) + j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF], U64))) >> U64(63)).astype(np.int64)
-    return out
-
-
 def substring_distance(items: np.ndarray, at: np.ndarray, size: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least edit distance between each item and any substring of words[low:high]."""
     width = int((high - low).max())
-    column = np.arange(width + 1)
-    text = np.where(column[:-1] < (high - low)[:, None], words[np.minimum(low[:, None] + column[:-1], len(words) - 1)], U64(0))
-    row = np.zeros((len(at), width + 1), np.int64)
+    kind = np.int16 if width + int(size.max()) < 1 << 14 else np.int32
+    column = np.arange(width + 1, dtype=kind)
+    inside = column[:-1] < (high - low)[:, None]
+    text = np.where(inside, words[np.minimum(low[:, None] + np.arange(width), len(words) - 1)], U64(0))
+    # Numbers in place of words: a word's place among all of these texts' and items' words.
+    known, text = np.unique(text, return_inverse=True)
+    text = text.reshape(len(at), width).astype(np.int32)
+    own = items[np.minimum(at[:, None] + np.arange(int(size.max())), len(items) - 1)]
+    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    own = np.where(known[place] == own, place, -1).astype(np.int32)
+    row = np.zeros((len(at), width + 1), kind)
     out = np.zeros(len(at), np.int64)
-    for i in range(int(size.max())):
-        symbol = items[np.minimum(at + i, len(items) - 1)]
-        best = row + 1
-        best[:, 1:] = np.minimum(best[:, 1:], row[:, :-1] + (text != symbol[:, None]))
-        row = np.minimum.accumulate(best - column, 1) + column
+    best = np.empty_like(row)
+    for i in range(own.shape[1]):
+        np.add(row, 1, out=best)
+        np.minimum(best[:, 1:], row[:, :-1] + (text != own[:, i, None]), out=best[:, 1:])
+        best -= column
+        np.minimum.accumulate(best, 1, out=row)
+        row += column
         done = size == i + 1
         out[done] = row[done].min(1)
     return out
 
 
-def _indexes(items: DataFrame, similarity: float, key: str, text: str) -> list[Index]:
-    """The items, in blocks: a benchmark is a parameter of the search, but one of any size is taken."""
-    out = []
-    rows = items.select(key, text).filter(F.col(text).isNotNull()).toLocalIterator()
-    block: list = []
+def _indexes(items: DataFrame, similarity: float, key: str, text: str, least: int) -> Iterator[Index]:
+    """The items of at least `least` words, in blocks of ITEM_WORDS words: one is on the driver at a time."""
+    block, held = [], 0
 
-    def close() -> None:
+    def close() -> Index | None:
         words, at = words_of(pa.array([r[1] for r in block], pa.string()))
-        long = np.flatnonzero(np.diff(at) >= MIN_WORDS)
-        if len(long):
-            owner, rank = spread(np.diff(at)[long])
-            out.append(Index([block[k][0] for k in long], words[at[:-1][long][owner] + rank], np.concatenate([[0], np.cumsum(np.diff(at)[long])]), similarity))
+        long = np.flatnonzero(np.diff(at) >= least)
+        if not len(long):
+            return None
+        owner, rank = spread(np.diff(at)[long])
+        return Index([block[k][0] for k in long], words[at[:-1][long][owner] + rank], np.concatenate([[0], np.cumsum(np.diff(at)[long])]), similarity)
 
-    for r in rows:
+    for r in items.select(key, text).filter(F.col(text).isNotNull()).toLocalIterator():
         block.append(r)
-        if len(block) == ITEMS_AT_ONCE:
-            close()
-            block = []
-    if block:
-        close()
-    return out
+        held += len(r[1]) // 4 + 1
+        if held >= ITEM_WORDS:
+            if x := close():
+                yield x
+            block, held = [], 0
+    if block and (x := close()):
+        yield x
 
 
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_key, distance, item_words) for every document and item of which a passage of the document is within
     (1 - similarity) * item_words word edits; distance is the least that was found.
 
-    Items are collected and sent to every task, in blocks of ITEMS_AT_ONCE; documents are never shuffled.  Null or
-    empty texts match nothing, items of fewer than MIN_WORDS words are not looked for, repeated rows give repeated
-    pairs.  A pair at the threshold is found with the target recall of the embeddings, an unchanged item always.
+    Items are sent to every task in blocks of ITEM_WORDS words, each with a pass over the documents, which are never
+    shuffled.  Windows begin at every word of a document and of an item, so whatever part of an item is unchanged can
+    be what a table agrees in; a pair within the edits is found with high probability (0.99 and more is measured in the tests),
+    an unchanged item always, and items under SHORT_WORDS words by exact look-up.  What is found is exact.  Null or empty texts
+    match nothing, repeated rows give repeated pairs, empty tables give empty ones, other columns are not looked at.
     """
     small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
     schema = f"{key} {kinds[0]}, {item_key} {kinds[1]}, distance long, item_words long"
     out = None
-    for index in _indexes(items, similarity, item_key, item_text):
+    for index in _indexes(items, similarity, item_key, item_text, 1):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -204,10 +236,11 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, key
 
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs in which leaks() finds no item, as they are.  Nothing is shuffled or joined."""
+    """The rows of docs in which leaks() finds no item of MIN_WORDS words or more, as they are: null and empty texts, repeated
+    rows and rows without a key stay.  Nothing is shuffled or joined."""
     small_batches(docs.sparkSession)
     place = docs.columns.index(text)
-    for index in _indexes(items, similarity, item_key, item_text):
+    for index in _indexes(items, similarity, item_key, item_text, MIN_WORDS):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -225,5 +258,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark (items of MIN_WORDS words or more); rows go and stay by their own text."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
