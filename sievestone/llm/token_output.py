@@ -25,6 +25,10 @@ END_ID = 2
 SHARD_BYTES = 32 << 20
 #: The dictionary is fitted to about so many documents (twice as many at most), chosen by a hash of the key.
 SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL = 2_000, 64 << 10, 3
+#: Texts of the sample are no longer than this: a shared dictionary is for short documents, and the driver holds 64 MB at most.
+SAMPLE_BYTES = 16 << 10
+#: Tasks that read files back.
+READERS = 1024
 #: Distinct pre-tokens that a worker remembers; beyond, it forgets all and starts anew.
 REMEMBERED = 1_000_000
 MAGIC = b"SVTOK01\n"
@@ -105,7 +109,7 @@ def _documents(path: str, column: pa.Array, end_id: int) -> list[np.ndarray]:
 def train_dictionary(docs: DataFrame, path: str, key: str, text: str, end_id: int = END_ID) -> bytes:
     """A dictionary fitted to the id arrays of at most SAMPLE_DOCS documents; b'' where there are too few to fit one."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))  # chosen by hash beside the scan: tasks send what is chosen alone
-    sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).select(text).limit(2 * SAMPLE_DOCS).collect()
+    sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).filter(F.octet_length(text) <= SAMPLE_BYTES).select(text).limit(2 * SAMPLE_DOCS).collect()
     if not sample:
         return b""
     arrays = [x.tobytes() for x in _documents(path, pa.array([r[0] for r in sample], pa.string()), end_id)]
@@ -115,11 +119,27 @@ def train_dictionary(docs: DataFrame, path: str, key: str, text: str, end_id: in
         return b""
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _dictionary_name(digest: bytes) -> str:
+    return f"dictionary-{digest.hex()}.zstd"
+
+
+def store_dictionary(folder: str, dictionary: bytes) -> None:
+    """Write the dictionary beside the files, under the hash that each of them carries."""
+    store, base = _store(folder)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/{_dictionary_name(hashlib.sha256(dictionary).digest())}") as out:
+        out.write(dictionary)
+
+
 class ShardWriter:
     """One file: header, frames, index.  It appears under its name only when whole."""
 
     def __init__(self, folder: str, name: str, dictionary: bytes, width: int) -> None:
-        self.store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        self.store, base = _store(folder)
         self.path, self.part = f"{base}/{name}", f"{base}/.{name}.part"
         self.store.create_dir(base, recursive=True)
         self.out = self.store.open_output_stream(self.part)
@@ -142,13 +162,17 @@ class ShardWriter:
 
 
 class Shard:
-    """Reads a file's documents one by one, each by its place in the index."""
+    """Reads a file's documents one by one, each by its place in the index.  Without a dictionary given it takes the one beside
+    the file."""
 
-    def __init__(self, path: str, dictionary: bytes) -> None:
-        store, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    def __init__(self, path: str, dictionary: bytes | None = None) -> None:
+        store, base = _store(path)
         self.file = store.open_input_file(base)
         size = self.file.size()
         magic, used, self.width, self.docs, self.index = HEADER.unpack(self.file.read_at(HEADER.size, size - HEADER.size))
+        if dictionary is None and magic == MAGIC:
+            with store.open_input_file(f"{base.rsplit('/', 1)[0]}/{_dictionary_name(used)}") as f:
+                dictionary = f.read()
         if magic != MAGIC or used != hashlib.sha256(dictionary).digest():
             raise ValueError(f"{path}: not of this format, or written with another dictionary")
         self.entries = np.frombuffer(self.file.read_at((self.docs + 1) * ENTRY.itemsize, self.index), ENTRY)
@@ -168,14 +192,15 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, key: str
 
     Texts are dealt by ranges of the key, sorted there, encoded and written in files of about `shard_bytes`; a retried
     task writes files of its own names, and only a task that succeeds has its files in the manifest.  Returns the
-    manifest (file, task, number, docs, tokens, start: ids of all files before it) and the dictionary.  Null keys come
-    first; rows of one key stand in the order of their texts.  Null text is empty: the end id alone.
+    manifest (file, task, number, docs, tokens, start: ids of all files before it) and the dictionary, which lies beside the
+    files too.  Null keys come first; rows of one key stand in the order of their texts.  Null text is empty: the end id alone.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/tokens"
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     dictionary = train_dictionary(rows, path, "key", "text", end_id)
+    store_dictionary(folder, dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, shard = TaskContext.get(), [], None
@@ -195,15 +220,16 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, key: str
             finish()
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "task", "number", "docs", "tokens"), m, strict=True)) for m in made], pa.schema([("file", pa.string()), ("task", pa.int32()), ("number", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    dealt = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    # Many rows of one key, null or not, are ranged by how their texts begin: sampled bounds stay short.
+    dealt = rows.withColumn("head", F.substring("text", 1, 64)).repartitionByRange("key", "head").sortWithinPartitions("key", "text").drop("head")
     manifest = materialize(dealt.mapInArrow(write, "file string, task int, number int, docs long, tokens long"), "manifest")
     # One row for a file: the running sum in one task is over files, not documents.
     before = Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))), dictionary
 
 
-def read_tokens(manifest: DataFrame, dictionary: bytes) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of every document, from the files alone."""
+def read_tokens(manifest: DataFrame, dictionary: bytes | None = None) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32) of every document, from the files alone (and the dictionary beside them)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,11 +240,11 @@ def read_tokens(manifest: DataFrame, dictionary: bytes) -> DataFrame:
                 keys = pa.array(shard.entries["key"][:-1], pa.int64(), mask=shard.entries["null"][:-1].astype(bool))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(start + np.cumsum(counts) - counts), pa.array(counts), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "start").repartition("file").mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition(max(1, min(READERS, manifest.count())), "file").mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    manifest, dictionary = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(manifest, dictionary).withColumnRenamed("key", "doc_id")
+    manifest, _ = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(manifest).withColumnRenamed("key", "doc_id")

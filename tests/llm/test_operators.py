@@ -69,6 +69,9 @@ def test_token_files(spark, tmp_path):
     assert shard.ids(shard.docs - 1)[-1] == 2 and hashlib.sha256(dictionary).digest() == token_output.HEADER.unpack((tmp_path / "t" / manifest.first()["file"].rsplit("/", 1)[1]).read_bytes()[-token_output.HEADER.size :])[1]
     with pytest.raises(ValueError, match="another dictionary"):
         token_output.Shard(manifest.first()["file"], dictionary + b"x")
+    alone = token_output.Shard(manifest.first()["file"])  # finds its dictionary by the hash
+    assert [alone.ids(i).tolist() for i in range(alone.docs)] == [token_output.Shard(manifest.first()["file"], dictionary).ids(i).tolist() for i in range(alone.docs)]
+    assert Counter(map(tuple, token_output.read_tokens(manifest).collect())) == Counter(want)
     empty, d = token_output.write_tokens(df.limit(0), BPE)
     assert token_output.read_tokens(empty, d).count() == 0
 
@@ -317,6 +320,20 @@ def test_bad_hosts(spark):
     assert out[199]["host_rejected"] and not out[199]["kept"] and out[201]["kept"] and out[400]["kept"] and not out[401]["kept"]
 
 
+def test_host_rates_by_hand(spark):
+    """Thirty hosts with 2 failures in 20 documents, one with 14 in 20, one with 3 in 4: m = 0.1391, v = 0.0229."""
+    rows = [(f"h{h}", i < 2) for h in range(30) for i in range(20)] + [("bad", i < 14) for i in range(20)] + [("few", i < 3) for i in range(4)]
+    stats = spark.createDataFrame([(h, f, False, False) for h, f in rows], "source string, base_failed boolean, symbols_failed boolean, lines_failed boolean")
+    rates = [0.1] * 30 + [0.7, 0.75]
+    m = sum(rates) / 32
+    v = sum((x - m) ** 2 for x in rates) / 32
+    weight = max(1, m * (1 - m) / v - 1)
+    bound = min(0.9, max(0.5, m + 3 * (m * (1 - m) / (weight + 1)) ** 0.5))
+    shrunk = {"bad": (14 + m * weight) / (20 + weight), "few": (3 + m * weight) / (4 + weight), "h1": (2 + m * weight) / (20 + weight)}
+    assert 0.139 < m < 0.14 and shrunk["few"] < bound < shrunk["bad"] < 0.7
+    assert {x["host_key"] for x in quality_rules.host_verdicts(stats).filter("host_rejected").collect()} == {"bad"}
+
+
 # --- shards
 @pytest.mark.parametrize("limit", [300, 5000, 1 << 20])
 def test_shards(spark, limit):
