@@ -112,6 +112,17 @@ def _coded(path: str, keys: pa.Array, texts: pa.Array, dropout: float, seed: int
     return c, data, offsets, *c.encode(data, offsets, own, dropout, seed)
 
 
+def _same(data: np.ndarray, offsets: np.ndarray, again: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each decoded text is the text."""
+    same = np.diff(at) == np.diff(offsets)
+    if len(again) == len(data):
+        wrong = np.flatnonzero(again != data)
+        same[np.searchsorted(offsets, wrong, "right") - 1] = False
+    else:
+        same &= [data[offsets[k] : offsets[k + 1]].tobytes() == again[at[k] : at[k + 1]].tobytes() for k in range(len(same))]
+    return same
+
+
 def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, key: str = "doc_id", text: str = "text", out: str = "pieces") -> DataFrame:
     """docs with an array of piece ids of each whole text in column `out`.
 
@@ -160,13 +171,7 @@ def digest(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c, data, offsets, ids, counts = _coded(path, b.column(0), b.column(1), dropout, seed)
-            again, at = c.decode(ids, counts)
-            same = np.diff(at) == np.diff(offsets)
-            if len(again) == len(data):
-                wrong = np.flatnonzero(again != data)
-                same[np.searchsorted(offsets, wrong, "right") - 1] = False
-            else:
-                same &= [data[offsets[k] : offsets[k + 1]].tobytes() == again[at[k] : at[k + 1]].tobytes() for k in range(len(same))]
+            same = _same(data, offsets, *c.decode(ids, counts))
             ends = np.cumsum(counts)
             raw = ids.astype("<u4")
             crc = [zlib.crc32(raw[z - n : z].tobytes()) for z, n in zip(ends.tolist(), counts.tolist(), strict=True)]
@@ -187,6 +192,18 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the pieces of its text (a new segmentation by seed), and whether they decode to it."""
-    coded = decode(encode(docs, model_path()), model_path())
-    return coded.withColumn("lossless", coded.decoded.eqNullSafe(coded.text) | (coded.text.isNull() & (coded.decoded == ""))).drop("decoded")
+    """Every row with the pieces of its text (a new segmentation by seed), and whether they decode to it.  Null and empty texts
+    have no pieces and are lossless; rows of one id and text have the same pieces.  One Python step does both, so a task
+    has one worker."""
+    path, (key, text) = model_path(), ("doc_id", "text")
+    docs = docs.drop("pieces", "lossless")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c, data, offsets, ids, counts = _coded(path, b.column(names.index(key)), b.column(names.index(text)), DROPOUT, SEED)
+            pieces = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pieces, pa.array(_same(data, offsets, *c.decode(ids, counts)))], [*names, "pieces", "lossless"])
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())]))

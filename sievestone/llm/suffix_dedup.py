@@ -39,9 +39,9 @@ from .textops import BYTE_VALUE, U64, mix, prefix_hash, span_hash, spread, texts
 
 WINDOW, K = 50, 16
 #: Bytes of text of a chunk, of a range of chunks that one task packs, of what meets in one bucket, of one round of hashing.
-CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20, 16 << 20, 1 << 19
+CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20, 8 << 20, 1 << 19
 #: Strings that are sorted at a time; a bucket is dealt with in so many slices of its triggers.
-SORTED_AT_ONCE, SLICES = 1 << 20, 16
+SORTED_AT_ONCE, SLICES = 1 << 19, 16
 #: A trigger of more phrases than this, counted for each chunk, is hot: its strings are dealt out one by one.
 HOT = 4096
 LAST, FIRST = (1 << 63) - 1, -(1 << 63)
