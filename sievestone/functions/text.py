@@ -1,12 +1,18 @@
-"""Text, hash and score expressions, all native Columns."""
+"""Text, hash and score expressions: native Columns, but for the votes of a SimHash."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
+from functools import lru_cache, reduce
+from string import ascii_lowercase, ascii_uppercase
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import constants as C
 
@@ -58,22 +64,43 @@ def ranking_tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{3,}"), 0), lambda w: ~w.isin(C.RANKING_STOP_WORDS))
 
 
+def _dedup_text(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.substring(text, 1, 8000)), r"[^a-z0-9\s]", " ")
+
+
 def dedup_tokens(text: Column) -> Column:
     """Words of the first 8,000 characters and pairs of neighbours."""
-    words = F.array_remove(F.split(F.regexp_replace(F.lower(F.substring(text, 1, 8000)), r"[^a-z0-9\s]", " "), r"\s+"), "")
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit("_"), b)))
-    return F.concat(words, F.coalesce(pairs, F.expr("array()").cast("array<string>")))
+    none = F.expr("array()").cast("array<string>")
+    pairs = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(none)
+    return bound(F.array_remove(F.split(_dedup_text(text), r"\s+"), ""), lambda w: F.concat(w, pairs(w)))
+
+
+@lru_cache(maxsize=1 << 17)
+def _token_hash(token: str) -> bytes:
+    return hashlib.md5(token.encode()).digest()[8:]
+
+
+@F.pandas_udf(LongType())
+def _majority(texts: pd.Series) -> pd.Series:
+    """The bits that most md5s of the words and neighbouring pairs of each text have set."""
+    out = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        words = text.split() if text else []
+        if not words:
+            continue
+        tokens = words + [f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)]
+        digests = b"".join(map(_token_hash, tokens))
+        set_ = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        out[k] = np.packbits(2 * set_ > len(tokens)).view(">i8")[0]
+    return pd.Series(out)
 
 
 def simhash(df: DataFrame, key: str, text: str, out: str = "simhash") -> DataFrame:
-    """(key, out): 64-bit SimHash by the low 64 bits of md5 of each token.  Texts without tokens have 0.
+    """(key, out): 64-bit SimHash by the low 64 bits of md5 of each of the dedup tokens.  Texts without tokens have 0.
 
-    Votes are summed in a partial aggregate beside the scan; what is shuffled is one row of 64 counters for each text."""
-    tokens = df.select(F.col(key), F.explode_outer(dedup_tokens(F.col(text))).alias("t"))
-    votes = tokens.select(key, F.conv(F.substring(F.md5(F.col("t").cast("binary")), 17, 16), 16, -10).cast("long").alias("h"))
-    sums = votes.groupBy(key).agg(*[F.sum(F.getbit("h", F.lit(b)).cast("long") * 2 - 1).alias(f"b{b}") for b in range(64)])
-    bits = " | ".join(f"if(coalesce(b{b}, 0) > 0, shiftleft(1L, {b}), 0L)" for b in range(64))
-    return sums.select(key, F.expr(bits).alias(out))
+    One row for each row of df, nothing is shuffled: characters are cleaned natively, and votes are summed in an Arrow UDF,
+    to which the first 8,000 characters go, no more."""
+    return df.select(F.col(key), _majority(_dedup_text(F.col(text))).alias(out))
 
 
 def simhash_hex(x: Column) -> Column:
@@ -135,9 +162,22 @@ def sentiment(text: Column, title: Column) -> Column:
 
 
 def signals(text: Column) -> Column:
-    """Sorted distinct kinds of the patterns found in the first 5,000 characters."""
-    head = F.substring(text, 1, 5000)
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(head.rlike(f"(?i){p}"), kind) for p, kind in C.SIGNALS]))))
+    """Sorted distinct kinds of the patterns found in the first 5,000 characters, whatever the case of A-Z.
+
+    Case is folded once; patterns that are plain alternatives are looked up as strings, only the others are regexes."""
+
+    def found(head: Column) -> Column:
+        hits = []
+        for pattern, kind in C.SIGNALS:
+            plain = re.fullmatch(r"\(([a-z |]+)\)", pattern)
+            hits.append(F.when(any_of(head, plain[1].split("|")) if plain else head.rlike(pattern), kind))
+        return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
+
+    return bound(F.translate(F.substring(text, 1, 5000), ascii_uppercase, ascii_lowercase), found)
+
+
+def any_of(where: Column, words: list[str]) -> Column:
+    return reduce(Column.__or__, [where.contains(w) for w in words])
 
 
 def looks_like_article_title(title: Column) -> Column:

@@ -330,9 +330,13 @@ def recrawl_history(spark: SparkSession, d: str) -> DataFrame:
     return frontier.recrawl_fold(table(spark, d, "events"), "user_id", "ts", "event_type").select("user_id", "last_crawled", "times_changed", "times_unchanged")
 
 
-@query()
+@query(f"""WITH o AS (SELECT user_id, epoch(ts)::DOUBLE AS t, event_type, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts)::DOUBLE, event_type)),
+g AS (SELECT user_id, max(t) AS last_crawled, list((was <> event_type)::INT::DOUBLE ORDER BY t, event_type) FILTER (was IS NOT NULL) AS steps, count(*) FILTER (was <> event_type) AS times_changed, count(*) FILTER (was = event_type) AS times_unchanged FROM o GROUP BY user_id),
+f AS (SELECT *, list_reduce(list_concat([{C.DEFAULT_INTERVAL}::DOUBLE], coalesce(steps, []::DOUBLE[])), lambda i, x: CASE WHEN x = 1 THEN greatest(i / {C.INTERVAL_FACTOR}::DOUBLE, {C.MIN_INTERVAL}::DOUBLE) ELSE least(i * {C.INTERVAL_FACTOR}::DOUBLE, {C.MAX_INTERVAL}::DOUBLE) END) AS i FROM g)
+SELECT user_id, last_crawled, round(i, 4) AS interval, round(last_crawled + i, 4) AS next_crawl, times_changed, times_unchanged FROM f""")
 def recrawl_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return frontier.recrawl_fold(table(spark, d, "events"), "user_id", "ts", "event_type")
+    rows = frontier.recrawl_fold(table(spark, d, "events"), "user_id", "ts", "event_type")
+    return rows.withColumns({c: F.round(c, 4) for c in ("interval", "next_crawl")})
 
 
 @query()
@@ -385,6 +389,12 @@ def simhash_near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.simhash_pairs(T.simhash(table(spark, d, "documents"), "doc_id", "text"), "doc_id", distance=3)
 
 
+@query(f"WITH {_SIM_SQL} SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.u, y.u))::INT AS distance FROM s x JOIN s y ON x.doc_id < y.doc_id AND bit_count(xor(x.u, y.u)) <= {dedup.DISTANCE}")
+def simhash_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs at the distance that makes a duplicate."""
+    return dedup.simhash_pairs(T.simhash(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
 @query("""WITH x AS (SELECT event_id, list_extract(['near_duplicate_simhash_0.91', 'title_similarity_0.95', 'canonical_url_match', 'normalized_url_match', 'amp_url', 'print_url', 'mobile_url', 'exact_content_hash', 'other'], (event_id % 9)::INT + 1) AS r FROM events)
 SELECT CASE WHEN contains(r, 'simhash') THEN 'SimHash near-duplicate' WHEN contains(r, 'title') THEN 'Title similarity' WHEN contains(r, 'canonical') OR contains(r, 'normalized') THEN 'URL normalization' WHEN contains(r, 'amp') THEN 'AMP variant' WHEN contains(r, 'print') THEN 'Print variant'
 WHEN contains(r, 'mobile') THEN 'Mobile variant' WHEN contains(r, 'hash') THEN 'Exact content hash' ELSE r END AS method, count(*) AS cnt FROM x GROUP BY 1""")
@@ -426,10 +436,21 @@ def query_doc_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_per(c, "item_id", [F.desc("cosine"), F.col("doc_id")], 5).select("item_id", "doc_id", "cosine")
 
 
-@query()
+_ASKED = "the nation on the other hand"
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) - 2), lambda i: substr({0}, i, 4)))"
+_JACCARD = "CASE WHEN len({0}) > 0 AND len({1}) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) ELSE 0 END"
+
+
+@query(f"""WITH r AS (SELECT doc_id, coalesce(split_part(text, chr(10), 1), '') AS t, coalesce(text, '') AS b FROM documents), v AS (SELECT b FROM r UNION ALL SELECT '{_ASKED}'),
+idf AS (SELECT term, ln(((SELECT count(*) FROM v) + 1) / (count(*) + 1)) + 1 AS idf FROM (SELECT unnest(list_distinct({_RANK_TOKENS.format('b')})) AS term FROM v) GROUP BY term),
+d AS (SELECT doc_id AS k, unnest({_RANK_TOKENS.format("repeat(t || ' ', 3) || substr(b, 1, 5000)")}) AS term FROM r), q AS (SELECT 0 AS k, unnest({_RANK_TOKENS.format(f"'{_ASKED}'")}) AS term), dv AS ({_VEC.format('d')}), qv AS ({_VEC.format('q')}),
+c AS (SELECT dv.k AS doc_id, sum(qv.w * dv.w) AS cosine FROM qv JOIN dv USING (term) GROUP BY ALL), n AS (SELECT doc_id, regexp_replace(lower(substr(b, 1, 1000)), '\\s+', ' ', 'g') AS lb, regexp_replace(lower(t), '\\s+', ' ', 'g') AS lt FROM r),
+g AS (SELECT doc_id, {_GRAMS.format('lb')} AS gb, {_GRAMS.format('lt')} AS gt, {_GRAMS.format(f"'{_ASKED}'")} AS gq FROM n), j AS (SELECT doc_id, {_JACCARD.format('gq', 'gb')} AS jaccard, {_JACCARD.format('gq', 'gt')} AS title_match FROM g)
+SELECT doc_id, round(coalesce(cosine, 0), 6) AS cosine, round(jaccard, 6) AS jaccard, round(title_match, 6) AS title_match, round(least(coalesce(cosine, 0) * 0.5 + jaccard * 0.2 + title_match * 0.3, 1), 6) AS combined FROM j LEFT JOIN c USING (doc_id)""")
 def semantic_rank(spark: SparkSession, d: str) -> DataFrame:
-    docs = _titles(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return ranking.rank(docs, "the nation on the other hand", "doc_id", "title", "text")
+    docs = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
+    ranked = ranking.rank(docs, _ASKED, "doc_id", "title", "text")
+    return ranked.select("doc_id", *[F.round(c, 6).alias(c) for c in ("cosine", "jaccard", "title_match", "combined")])
 
 
 @query("""WITH g AS (SELECT item_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM benchmark), n AS (SELECT item_id, list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) AS g FROM g)
@@ -450,14 +471,20 @@ def topic_term_pairs(spark: SparkSession, d: str) -> DataFrame:
     return report.term_pairs(docs, "doc_id", "text", report.top_terms(docs, "text", 20), 0.4)
 
 
-@query()
+#: A pass over keys k in order; pairs(a, b) are those that are near.  $0: the key's type.
+_LEAD_SQL = """h AS (SELECT o.k, row_number() OVER (ORDER BY o.k) AS n, coalesce((SELECT list(a) FROM pairs WHERE b = o.k), []) AS near FROM keys o),
+lead AS (SELECT 0::BIGINT AS n, NULL::{0} AS k, []::{0}[] AS leads, NULL::{0} AS leader UNION ALL SELECT h.n, h.k, CASE WHEN len(list_intersect(lead.leads, h.near)) = 0 THEN list_append(lead.leads, h.k) ELSE lead.leads END, coalesce(list_min(list_intersect(lead.leads, h.near)), h.k) FROM lead JOIN h ON h.n = lead.n + 1)"""
+
+
+@query(ORACLES["topic_term_pairs"].replace("WITH w AS", "WITH RECURSIVE w AS", 1).replace("\nSELECT a, b, round(", ",\nkeys AS (SELECT term AS k FROM top), pairs AS (SELECT a, b FROM (SELECT a, b, round(", 1) + f")), {_LEAD_SQL.format('VARCHAR')} SELECT k AS term, leader FROM lead WHERE n > 0")
 def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     terms = report.top_terms(docs, "text", 20)
     return ranking.leader_clusters(terms.select("term"), report.term_pairs(docs, "doc_id", "text", terms, 0.4), "term")
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT item_id AS k, unnest({_RANK_TOKENS.format('text')}) AS term FROM benchmark), idf AS (SELECT term, ln(((SELECT count(*) FROM benchmark) + 1) / (count(DISTINCT k) + 1)) + 1 AS idf FROM d GROUP BY term), dv AS ({_VEC.format('d')}),
+pairs AS (SELECT x.k AS a, y.k AS b FROM dv x JOIN dv y ON x.term = y.term AND x.k < y.k GROUP BY ALL HAVING sum(x.w * y.w) >= 0.35), keys AS (SELECT DISTINCT item_id AS k FROM benchmark), {_LEAD_SQL.format('BIGINT')} SELECT k AS item_id, leader FROM lead WHERE n > 0""")
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark")
     return ranking.leader_clusters(items, ranking.similar_pairs(items, "item_id", "text", 0.35), "item_id")

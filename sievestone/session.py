@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (local runs), under a temporary folder."""
+    """A new folder under spark.checkpoint.dir; where that is unset, under a temporary folder in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = tempfile.mkdtemp(prefix="sievestone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sievestone/{uuid.uuid4().hex}"
