@@ -14,10 +14,12 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor sees.  Only where that is unset (tests in local
-    mode) a temporary folder takes its place, and the session is told."""
+    """A new folder under spark.checkpoint.dir, which every executor sees.  Only where that is unset in local mode
+    (tests) a temporary folder takes its place, and the session is told; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = tempfile.mkdtemp(prefix="sievestone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sievestone/{uuid.uuid4().hex}"
