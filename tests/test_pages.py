@@ -25,6 +25,20 @@ def test_facts():
     assert empty["main_content"] == "" and "no_body_tag" in empty["problems_detected"]
 
 
+def test_places_of_a_field():
+    def facts(*parts):
+        return H.page_facts("http://e.com/a", "".join(parts))
+
+    linked, meta, line = '<script type="application/ld+json">[1, {"author": [{"name": " L  M "}], "dateCreated": "2020-02-03T00"}]</script>', '<meta name="byl" content="By Q"><meta name="date" content="2021-01-01 09:00">', '<p class="Post-Author big">Bob</p><time datetime="2022-05-06T1">x</time>'
+    for parts, author, date in [((line, meta, linked), "L M", "2020-02-03"), ((line, meta), "By Q", "2021-01-01"), ((line,), "Bob", "2022-05-06"), ((), "", "")]:
+        got = facts(*parts)
+        assert (got["author"], got["published_date"]) == (author, date) and ("missing_author" in got["problems_detected"]) == (not author)
+    assert [facts(h)["title"] for h in ('<h1>b</h1><meta property="og:title" content="a  c">', "<title>T – S</title><h1>b</h1>", "<title>T – S</title>", "")] == ["a c", "b", "T", ""]
+    assert facts('<script type="application/ld+json">{bad</script>')["schema_types"] == []
+    images = facts('<img src="http://[bad"><img src="/p.png" width="1"><img><img src="/²" width="²">', '<img src="/i">' * 20)["images"]
+    assert [i["src"] for i in images] == ["http://e.com/²"] + ["http://e.com/i"] * 9
+
+
 def test_markdown_and_links():
     md = H.page_markdown("http://e.com/a", PAGE)
     for part in ("# Hello World", "Some **bold** [link](http://e.com/l?a=1#z) more", "- one\n- two", "| 1\\|2 |  |", "```py\nx=1\n```", "![A](http://e.com/i.png)"):
