@@ -9,7 +9,8 @@ a block, full shingle sets confirm links until what is linked is connected, so a
 squared.  Where a large node is still in several components (copies of one template that are not quite near), its classes
 are joined by prefixes of their full sets: shingles in one order of about their frequency, rarest first, of which two sets above
 the threshold t share one that is among the first (1 - t) n + 1 of the larger set and the first (1 - 2 t / (1 + t)) n + 1
-of the other.  That join is exact, and classes that only have a template in common don't meet.
+of the other.  That join is exact, and classes that only have a template in common don't meet.  Two classes that share many
+such shingles are compared for the first of them alone, by sketches; texts go only for those that are near another.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ TREES, LEVELS = 8, 4
 NODE, LEADERS = 64, 3  # classes that are compared exhaustively; those of a large node that are in all its blocks
 #: Pairs are proposed from this many standard deviations of the sketch's estimate below the threshold.
 SLACK = 3.3
+#: Classes of a part of a large group of the second join; of a class's groups there, how many go with it.
+PART, CARRIED = 512, 16
 #: Counters by which the second join orders shingles; their sum is held by every task.
 COUNTERS = 1 << 16
 #: Bits of the filter that leaves out most texts that are not asked for: 8 MB, whatever the input.
@@ -330,16 +333,71 @@ def _prefixed(open_: DataFrame, texts: DataFrame, k: int, numerator: int, denomi
     return rows.select("v", "component", "text").mapInArrow(prefix, "node long, v long, component long, index boolean")
 
 
-def _second(blocks: DataFrame) -> DataFrame:
-    """(block, v, component): of a large group what is not in its main component meets all its blocks, the rest what comes
-    to its own.  blocks: (node, v, component, blocks, salt)."""
-    large = blocks.filter("blocks > 1")
-    sizes = large.groupBy("node", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    again = large.join(main, "node")
-    minor = again.filter("component <> main").withColumn("salt", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    both = again.filter("component = main").unionByName(minor).drop("main").unionByName(blocks.filter("blocks = 1"))
-    return both.select(F.xxhash64("node", "salt").alias("block"), "v", "component").distinct()
+def _dealt(groups: DataFrame) -> DataFrame:
+    """(block, node, part, diagonal, v, component, nodes): every two classes of a group that can be in different components meet in one
+    block.  The classes of a group's main component are dealt to parts of PART, the others to further ones; a block is two parts,
+    or one of the others alone, and there is none of two parts of the main component.  nodes: the least of a class's groups."""
+    mine = groups.groupBy("v").agg(F.slice(F.sort_array(F.collect_list("node")), 1, CARRIED).alias("nodes"))
+    sizes = groups.groupBy("node", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("of_main"), F.sum("n").alias("of_all"))
+    main = main.select("node", "main", F.ceil(F.col("of_main") / PART).alias("first"), F.ceil((F.col("of_all") - F.col("of_main")) / PART).alias("others"))
+    is_main, salt = F.col("component") == F.col("main"), F.xxhash64("v", "node")
+    rows = groups.select("node", "v", "component").join(main, "node").join(mine, "v")
+    rows = rows.withColumn("part", F.when(is_main, F.pmod(salt, F.col("first"))).otherwise(F.col("first") + F.pmod(salt, F.col("others"))))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.when(is_main, F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("others") - 1)))
+    return rows.select(F.xxhash64("node", F.least("part", "with"), F.greatest("part", "with")).alias("block"), "node", "part", (F.col("part") == F.col("with")).alias("alone"), "v", "component", "nodes")
+
+
+def _met_before(nodes: pa.Array, node: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j have a group in common that comes before `node`, as far as `nodes` tell."""
+    size = np.diff(nodes.offsets.to_numpy())
+    owner, flat = np.repeat(np.arange(len(size)), size), nodes.flatten().to_numpy()
+    owner, flat = owner[flat < node], flat[flat < node]
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    several = times > 1
+    column, owner = (np.cumsum(several) - 1)[column[several[column]]], owner[several[column]]
+    met = np.zeros(len(i), bool)
+    for x in range(0, int(several.sum()), 1024):
+        here = (column >= x) & (column < x + 1024)
+        has = np.zeros((len(size), 1024), np.float32)
+        has[owner[here], column[here] - x] = 1
+        met |= (has @ has.T)[i, j] > 0
+    return met
+
+
+def _proposed(groups: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(block, v, component) of classes that sketches put near one of another component in a group of theirs, as _gathered does
+    for blocks.  Two classes that share several groups are compared in the first of them alone (or in a few, where they have
+    more than CARRIED), and no text travels for those that nothing is near."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"].to_numpy()
+        table = table.take(pa.array(np.argsort(block, kind="stable")))
+        block, v, n, comp, part, alone = (table[c].to_numpy() for c in ("block", "v", "n", "component", "part", "alone"))
+        sketch, nodes, node = _matrix(table["sketch"].combine_chunks(), SIZE // 32), table["nodes"].combine_chunks(), table["node"].to_numpy()
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
+        for a, b in zip(edge, [*edge[1:], len(block)], strict=True):
+            i, j = _pairs(block[a:b], n[a:b], threshold)
+            new = (comp[a:b][i] != comp[a:b][j]) & ((part[a:b][i] != part[a:b][j]) | alone[a:b][i])
+            i, j = i[new], j[new]
+            if len(i):
+                new = ~_met_before(nodes.slice(a, b - a), int(node[a]), i, j)
+                i, j, _ = _alike(sketch[a:b], i[new], j[new], threshold)
+            u = _Union()
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                u.join(x, y)
+            rows = np.unique(np.concatenate([i, j]))
+            root = np.array([u.root(x) for x in rows.tolist()], np.int64)
+            out.append((mix(block[a:b][rows].view(U64) ^ v[a:b][root].view(U64)).view(np.int64), a + rows))
+        block, rows = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"block": block, "v": v[rows], "component": comp[rows]})
+
+    dealt = materialize(_dealt(groups), "dealt")
+    rows = dealt.join(classes.select("v", "n", "sketch"), "v").withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(dealt.count() // ROWS_PER_BIN + 1)))
+    found = materialize(rows.groupBy("bin").applyInArrow(run, "block long, v long, component long"), "proposed")
+    drop_materialized(dealt)
+    return _unlike(found, "block")
 
 
 def near_dups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -400,7 +458,7 @@ def _members(docs: DataFrame, k: int, numerator: int, denominator: int, key: str
         prefixes = materialize(_prefixed(left_open, texts, k, numerator, denominator), "prefixes")
         small, many = _sized(prefixes, "node", (F.col("low") != F.col("high")) & (F.col("indexed") > 0))
         drop_materialized(prefixes)
-        second = materialize(_second(_blocks(_unlike(small, "node").unionByName(many))), "second")
+        second = materialize(_proposed(_unlike(small, "node").unionByName(many), classes, threshold), "second")
         links = links.unionByName(materialize(_links(second, texts, k, numerator, denominator), "links"))
     drop_materialized(texts)
     joined = components(links)

@@ -293,6 +293,35 @@ def test_near_duplicates_of_a_template(spark):
     assert sum(n for n in met if n > 1) <= 40 * len(rows)
 
 
+@pytest.mark.parametrize("part", [512, 7])
+def test_classes_that_share_many_groups_are_compared_once(spark, monkeypatch, part):
+    """Forty groups hold the same sixty classes or most of them, in a main component and many others: what goes on to be compared
+    by texts is what sketches put near, from one group, and every pair that they put near is there."""
+    monkeypatch.setattr(near_dedup, "PART", part)
+    r = random.Random(4)
+    component = {v: 0 if v < 30 else v for v in range(60)}
+    members = [(g * 1009 - 20000, v, component[v]) for g in range(40) for v in range(60) if g % 2 or r.random() < 0.8]
+    sketch = {v: bytes(r.randrange(256) for _ in range(32)) for v in range(60)}
+    near = [(3, 40), (41, 42), (29, 59)]
+    for a, b in near:
+        sketch[b] = sketch[a]
+    rows = spark.createDataFrame(members, "node long, v long, component long")
+    classes = spark.createDataFrame([(v, 100, sketch[v]) for v in range(60)], "v long, n long, sketch binary")
+    dealt = near_dedup._dealt(rows).collect()
+    met = Counter()
+    for block in {x["block"] for x in dealt}:
+        here = [x for x in dealt if x["block"] == block]
+        met.update((x["node"], x["v"], y["v"]) for x in here for y in here if x["v"] < y["v"] and x["component"] != y["component"] and (x["part"] != y["part"] or x["alone"]))
+    held = defaultdict(set)
+    for node, v, _ in members:
+        held[node].add(v)
+    assert met == Counter((node, a, b) for node, vs in held.items() for a in vs for b in vs if a < b and component[a] != component[b])
+    found = near_dedup._proposed(rows, classes, 0.85).collect()
+    together = {tuple(sorted(x["v"] for x in found if x["block"] == b)) for b in {x["block"] for x in found}}
+    assert together == set(near)
+    assert len(found) == 2 * len(near) and {(x["v"], x["component"]) for x in found} == {(v, component[v]) for p in near for v in p}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_dups(frame(spark).limit(0)).count() == 0
 
