@@ -16,7 +16,9 @@ WINDOW bytes is the dictionary's alone, and the parse adds which document comes
    of its own: its phrases are cut into single strings, each of which goes to the bucket of its own hash;
 3. remove: a chunk takes both answers, orders its own dictionary for what its own documents share, and removes.
 
-A passage copied in a third of all documents gives one entry for each chunk; nothing goes by row or place.  Entries are hashes
+A passage copied in a third of all documents gives one entry for each chunk; nothing goes by row or place.  What consecutive
+chunks of a range, a unit, have for one bucket goes as one row and is answered by one: with more input a unit is of more chunks, so
+that rows, of which every unit has one for every bucket, are few.  Entries are hashes
 (80 bits of a phrase; 48 of a trigger, which only choose what is compared); strings are compared byte by byte.
 Every step is a table in the shared folder, and its shuffle files go when it is written.
 """
@@ -24,6 +26,7 @@ Every step is a table in the shared folder, and its shuffle files go when it is
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,10 +47,12 @@ CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20, 8 << 20
 SORTED_AT_ONCE, SLICES = 1 << 19, 16
 #: A trigger of more phrases than this, counted for each chunk, is hot: its strings are dealt out one by one.
 HOT = 4096
+#: A unit is of more than one chunk where this many units stay, and of all chunks of a range at most.
+UNITS = 128
 LAST, FIRST = (1 << 63) - 1, -(1 << 63)
 PACKED = "chunk long, ord long, body binary"
-ENTRIES = "bucket long, kind int, chunk long, ord long, blob binary"
-REPLIES = "chunk long, kind int, bucket long, blob binary"
+ENTRIES = "bucket long, kind int, unit long, blob binary"
+REPLIES = "unit long, kind int, bucket long, blob binary"
 TOP = ~U64(0xFFFF)
 PHRASE, TRIGGER, STRING = 0, 1, 2
 
@@ -179,8 +184,30 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
 
 
-def _bits(blob: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), count=n).astype(bool)
+def _head(rows: list | np.ndarray) -> bytes:
+    """What a blob begins with: a number of rows and the rows, of one width."""
+    rows = np.asarray(rows, np.int64)
+    return np.int64(len(rows)).tobytes() + rows.tobytes()
+
+
+def _headed(blob: pa.Scalar, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the head, the bytes after it) of a blob."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_buffer()), np.uint8)
+    end = 8 + 8 * width * int(raw[:8].view(np.int64)[0])
+    return raw[8:end].view(np.int64).reshape(-1, width), raw[end:]
+
+
+def _answers(replies: pa.Table) -> dict[int, list[tuple]]:
+    """For each chunk of a unit (kind, bucket, flags) of what it asked there, as far as any flag is set."""
+    out = defaultdict(list)
+    for kind, bucket, blob in zip(replies["kind"].to_pylist(), replies["bucket"].to_pylist(), replies["blob"], strict=True):
+        head, raw = _headed(blob, 2)  # (chunk, number of flags)
+        end = np.cumsum(head[:, 1]).tolist()
+        flags = np.unpackbits(raw).reshape(2 if kind == TRIGGER else 1, -1)[:, : end[-1]].astype(bool)
+        for chunk, i, j in zip(head[:, 0].tolist(), [0, *end[:-1]], end, strict=True):
+            if flags[:, i:j].any():
+                out[chunk].append((kind, bucket, flags[:, i:j]))
+    return out
 
 
 def meet(entries: pa.Table, hot: int = HOT) -> pa.Table:
@@ -191,21 +218,21 @@ def meet(entries: pa.Table, hot: int = HOT) -> pa.Table:
         here = entries.filter(pc.equal(entries["kind"], kind))
         if not here.num_rows:
             continue
-        a, b, sizes = [], [], []
+        a, b, heads = [], [], []
         low_a, low_b = LOW[kind]
         for blob in here["blob"]:
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8)
-            n = len(raw) // (16 - low_a - low_b)
+            head, raw = _headed(blob, 3)  # (chunk, its place, number of entries)
+            n = int(head[:, 2].sum())
             a.append(_from_planes(raw, n, low_a))
             b.append(_from_planes(raw[(8 - low_a) * n :], n, low_b))
-            sizes.append(n)
-        a, b, owner = np.concatenate(a), np.concatenate(b), np.repeat(np.arange(len(sizes)), sizes)
-        flags = _not_first(a, b, here["ord"].to_numpy()[owner]) if kind == PHRASE else _several(a, b, hot)
-        at = np.cumsum([0, *sizes])
-        for k, (chunk, bucket) in enumerate(zip(here["chunk"].to_pylist(), here["bucket"].to_pylist(), strict=True)):
+            heads.append(head)
+        at = np.cumsum([0, *map(len, a)])
+        a, b, each = np.concatenate(a), np.concatenate(b), np.concatenate(heads)
+        flags = _not_first(a, b, np.repeat(each[:, 1], each[:, 2])) if kind == PHRASE else _several(a, b, hot)
+        for k, (unit, bucket) in enumerate(zip(here["unit"].to_pylist(), here["bucket"].to_pylist(), strict=True)):
             mine = [f[at[k] : at[k + 1]] for f in flags]
             if any(m.any() for m in mine):
-                out.append((chunk, kind, bucket, _squeeze(*[np.packbits(m).tobytes() for m in mine])))
+                out.append((unit, kind, bucket, _squeeze(_head(heads[k][:, [0, 2]]), *[np.packbits(m).tobytes() for m in mine])))
     return _table(out, REPLIES)
 
 
@@ -249,28 +276,32 @@ def _several(a: np.ndarray, b: np.ndarray, many: int) -> list[np.ndarray]:
 def compare(entries: pa.Table, window: int) -> pa.Table:
     """One bucket of the dictionary: for each chunk, which strings of the phrases that it sent stand in a chunk before it.
     Slice by slice of the triggers: equal strings have equal triggers."""
-    chunks, ranks = entries["chunk"].to_pylist(), entries["ord"].to_numpy()
     sent = []
     for blob in entries["blob"]:
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8)
-        head = raw[: 4 * SLICES].view(np.uint32).astype(np.int64)
-        size = raw[4 * SLICES : 4 * SLICES + 2 * head.sum()].view(np.uint16).astype(np.int64)
-        sent.append((np.cumsum([0, *head]), size, np.concatenate([[0], np.cumsum(size)]), raw[4 * SLICES + 2 * len(size) :]))
+        head, raw = _headed(blob, 2)  # (chunk, its place)
+        count = raw[: 4 * SLICES * len(head)].view(np.uint32).astype(np.int64).reshape(SLICES, len(head))
+        raw = raw[4 * count.size :]
+        size = raw[: 2 * count.sum()].view(np.uint16).astype(np.int64)
+        sent.append((head, count, np.cumsum([0, *count.sum(1)]), size, np.concatenate([[0], np.cumsum(size)]), raw[2 * len(size) :]))
     answers: list[list[np.ndarray]] = [[] for _ in sent]
     for s in range(SLICES):
-        parts = [(data[at[head[s]] : at[head[s + 1]]], size[head[s] : head[s + 1]]) for head, size, at, data in sent]
-        data, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        strings = size - window + 1
-        owner, rank = spread(strings)
+        parts = [(data[at[cut[s]] : at[cut[s + 1]]], size[cut[s] : cut[s + 1]], np.repeat(head[:, 1], count[s])) for head, count, cut, size, at, data in sent]
+        data, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        owner, rank = spread(size - window + 1)
         start = (np.cumsum(size) - size)[owner] + rank
-        each = np.array([int((p[1] - window + 1).sum()) for p in parts])
-        own = np.repeat(ranks, each)
+        own = place[owner]
         hit = least_ranks(data, start, own, window) < own
+        each = [int((p[1] - window + 1).sum()) for p in parts]
         for k, x in enumerate(np.split(hit, np.cumsum(each)[:-1])):
             answers[k].append(x)
-    bucket = entries["bucket"][0].as_py()
-    flat = [np.concatenate(x) for x in answers]
-    return _table([(chunks[k], STRING, bucket, _squeeze(np.packbits(x).tobytes())) for k, x in enumerate(flat) if x.any()], REPLIES)
+    out = []
+    for k, (unit, bucket) in enumerate(zip(entries["unit"].to_pylist(), entries["bucket"].to_pylist(), strict=True)):
+        flat, (head, count, _, size, *_) = np.concatenate(answers[k]), sent[k]
+        if flat.any():
+            chunk = np.repeat(np.repeat(np.tile(np.arange(len(head)), SLICES), count.ravel()), size - window + 1)
+            flat = flat[np.argsort(chunk, kind="stable")]  # from slice by slice to chunk by chunk
+            out.append((unit, STRING, bucket, _squeeze(_head(np.stack([head[:, 0], np.bincount(chunk, minlength=len(head))], axis=1)), np.packbits(flat).tobytes())))
+    return _table(out, REPLIES)
 
 
 # --- a chunk ----------------------------------------------------------------------------------------------------------
@@ -296,28 +327,24 @@ class Chunk:
         self.trigger, self.of = np.unique(trigger[self.place] & TOP, return_inverse=True)
         self.count = np.bincount(self.of, minlength=len(self.trigger))
 
-    def hashes(self, chunk: int, rank: int) -> list[tuple]:
+    def hashes(self) -> list[tuple]:
+        """(bucket, kind, one number of each entry, the other) of its phrases and triggers."""
         fold = np.zeros(len(self.trigger), U64)
         fold[self.of] = self.full & U64(0xFFFFFFFF00000000)
-        out = []
-        for kind, a, b in ((PHRASE, self.full, self.more), (TRIGGER, self.trigger, fold | (np.minimum(self.count, 255).astype(U64) << U64(24)))):
-            low_a, low_b = LOW[kind]
-            out += [(x, kind, chunk, rank, _squeeze(_planes(a[i:j], low_a), _planes(b[i:j], low_b))) for x, i, j in _parts(_bucket(a, self.buckets))]
-        return out
+        both = ((PHRASE, self.full, self.more), (TRIGGER, self.trigger, fold | (np.minimum(self.count, 255).astype(U64) << U64(24))))
+        return [(x, kind, a[i:j], b[i:j]) for kind, a, b in both for x, i, j in _parts(_bucket(a, self.buckets))]
 
     def told(self, replies: list[tuple]) -> None:
-        """Takes what buckets say of phrases and triggers.  replies: (kind, bucket, blob)."""
+        """Takes what buckets say of phrases and triggers.  replies: (kind, bucket, flags)."""
         self.earlier, mixed, hot = np.zeros(len(self.full), bool), np.zeros(len(self.trigger), bool), np.zeros(len(self.trigger), bool)
         parts = {kind: {x: (i, j) for x, i, j in _parts(_bucket(a, self.buckets))} for kind, a in ((PHRASE, self.full), (TRIGGER, self.trigger))}
-        for kind, bucket, blob in replies:
+        for kind, bucket, flags in replies:
             if kind in parts:
                 i, j = parts[kind][bucket]
-                wide = -(-(j - i) // 8) * 8
                 if kind == PHRASE:
-                    self.earlier[i:j] = _bits(blob, j - i)
+                    self.earlier[i:j] = flags[0]
                 else:
-                    both = _bits(blob, wide + j - i)
-                    mixed[i:j], hot[i:j] = both[: j - i], both[wide:]
+                    mixed[i:j], hot[i:j] = flags
         ask = mixed[self.of] & ~self.earlier
         self.asked, self.hot = np.flatnonzero(ask & ~hot[self.of]), np.flatnonzero(ask & hot[self.of])
 
@@ -343,14 +370,14 @@ class Chunk:
         order = np.argsort(key, kind="stable")
         return tuple(x[order] for x in (key, start, end, phrase, start - self.lo[self.place[phrase]]))
 
-    def dictionary(self, chunk: int, rank: int) -> list[tuple]:
+    def dictionary(self) -> list[tuple]:
+        """(bucket, kind, slice of each of its strings' phrases, its bytes, all their bytes)."""
         key, start, end, *_ = self.sent()
         size, out = end - start, []
-        slices = _bucket(key, self.buckets * SLICES) % U64(SLICES)
+        slices = (_bucket(key, self.buckets * SLICES) % U64(SLICES)).astype(np.int64)
         for x, i, j in _parts(_bucket(key, self.buckets)):
             owner, at = spread(size[i:j])
-            head = np.bincount(slices[i:j].astype(np.int64), minlength=SLICES)
-            out.append((x, STRING, chunk, rank, _squeeze(head.astype(np.uint32).tobytes(), size[i:j].astype(np.uint16).tobytes(), self.data[start[i:j][owner] + at].tobytes())))
+            out.append((x, STRING, slices[i:j], size[i:j], self.data[start[i:j][owner] + at]))
         return out
 
     def removed(self, replies: list[tuple]) -> np.ndarray:
@@ -380,9 +407,8 @@ class Chunk:
             key, start, end, phrase, skip = self.sent()
             parts = {x: (i, j) for x, i, j in _parts(_bucket(key, self.buckets))}
             at = np.concatenate([[0], np.cumsum(end - start - self.window + 1)])
-            for _, bucket, blob in replies:
-                i, j = parts[bucket]
-                hit = np.flatnonzero(_bits(blob, int(at[j] - at[i]))) + at[i]
+            for _, bucket, flags in replies:
+                hit = np.flatnonzero(flags[0]) + at[parts[bucket][0]]
                 k = np.searchsorted(at, hit, "right") - 1
                 least[first[phrase[k]] + skip[k] + hit - at[k]] = FIRST
         ask = np.flatnonzero(several[self.which] & ~gone)
@@ -394,6 +420,47 @@ class Chunk:
         return np.cumsum(edge[:-1]) > 0
 
 
+# --- a unit -----------------------------------------------------------------------------------------------------------
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(unit, its chunks' (chunk, place, body)), as far as they come one after another."""
+    unit, held = None, []
+    for b in batches:
+        for now, *row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            if now != unit and held:
+                yield unit, held
+                held = []
+            unit = now
+            held.append(tuple(row))
+    if held:
+        yield unit, held
+
+
+def _entries(unit: int, found: list[tuple[int, int, list[tuple]]]) -> pa.Table:
+    """One row for each bucket and kind of what the chunks of a unit have for it.  found: (chunk, its place, what it has)."""
+    held = defaultdict(list)
+    for chunk, rank, parts in found:
+        for bucket, kind, *what in parts:
+            held[bucket, kind].append((chunk, rank, *what))
+    rows = []
+    for (bucket, kind), own in held.items():
+        chunk, rank, *what = zip(*own, strict=True)
+        if kind == STRING:
+            which = np.repeat(np.arange(len(own)), [len(x) for x in what[0]])
+            slices, size, data = (np.concatenate(x) for x in what)
+            order = np.argsort(slices, kind="stable")
+            if len(own) > 1:
+                owner, at = spread(size[order])
+                data = data[(np.cumsum(size) - size)[order][owner] + at]
+            count = np.bincount(slices * len(own) + which, minlength=SLICES * len(own))
+            blob = _squeeze(_head(list(zip(chunk, rank, strict=True))), count.astype(np.uint32).tobytes(), size[order].astype(np.uint16).tobytes(), data.tobytes())
+        else:
+            a, b = (np.concatenate(x) for x in what)
+            low_a, low_b = LOW[kind]
+            blob = _squeeze(_head(list(zip(chunk, rank, map(len, what[0]), strict=True))), _planes(a, low_a), _planes(b, low_b))
+        rows.append((bucket, kind, unit, blob))
+    return _table(rows, ENTRIES)
+
+
 # --- plan -------------------------------------------------------------------------------------------------------------
 class _Packer:
     """Chunks of one range of rows that come in order of key."""
@@ -487,27 +554,32 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     dealt = rows.repartitionByRange(int(total // RANGE_BYTES + 1), "_doc", F.xxhash64("_text"), "_salt").sortWithinPartitions("_doc").drop("_salt")
     packed = materialize(dealt.mapInArrow(lambda batches: _pack(batches, limit), PACKED), "chunks")
 
+    each = max(1, min(RANGE_BYTES // limit, int(total // limit // UNITS)))
+    packed = packed.select((F.shiftleft(F.shiftright("chunk", 32), 32) + F.floor(F.col("chunk").bitwiseAND(0xFFFFFFFF) / each)).alias("unit"), "chunk", "ord", "body")
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, rank, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                yield from _table(Chunk(body.as_buffer(), buckets, window).hashes(chunk, rank), ENTRIES).to_batches()
+        for unit, rows in _units(batches):
+            found = [(chunk, rank, Chunk(body.as_buffer(), buckets, window).hashes()) for chunk, rank, body in rows]
+            yield from _entries(unit, found).to_batches()
 
-    def told(left: pa.Table, right: pa.Table) -> tuple[Chunk, list[tuple]]:
-        replies = list(zip(*(right[c].to_pylist() for c in ("kind", "bucket", "blob")), strict=True))
-        c = Chunk(left["body"][0].as_buffer(), buckets, window)
-        c.told([r for r in replies if r[0] != STRING])
-        return c, [r for r in replies if r[0] == STRING]
+    def told(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int, Chunk, list[tuple]]]:
+        answers = _answers(right)
+        for chunk, rank, body in zip(left["chunk"].to_pylist(), left["ord"].to_pylist(), left["body"], strict=True):
+            c, replies = Chunk(body.as_buffer(), buckets, window), answers.get(chunk, [])
+            c.told([r for r in replies if r[0] != STRING])
+            yield chunk, rank, c, [r for r in replies if r[0] == STRING]
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _table([], ENTRIES)
-        c, _ = told(left, right)
-        return _table(c.dictionary(left["chunk"][0].as_py(), left["ord"][0].as_py()), ENTRIES)
+        return _entries(left["unit"][0].as_py(), [(chunk, rank, c.dictionary()) for chunk, rank, c, _ in told(left, right)])
 
     out = docs.schema if keep_text else f"{key} {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        c, replies = told(left, right)
+        return pa.concat_tables([cleaned(c, replies) for _, _, c, replies in told(left, right)])
+
+    def cleaned(c: Chunk, replies: list[tuple]) -> pa.Table:
         gone, at = c.removed(replies), c.offsets
         if keep_text:
             first = (c.data & 0xC0) != 0x80
@@ -531,7 +603,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     docs_columns = docs.columns
 
     def of_chunks(f: Callable[[pa.Table, pa.Table], pa.Table], replies: DataFrame, schema: object) -> DataFrame:
-        return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(f, schema)
+        return packed.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(f, schema)
 
     known = materialize(packed.mapInArrow(parse, ENTRIES).groupBy("bucket").applyInArrow(lambda t: meet(t, hot), REPLIES), "known")
     shared = materialize(of_chunks(ask, known, ENTRIES).groupBy("bucket").applyInArrow(lambda t: compare(t, window), REPLIES), "shared")

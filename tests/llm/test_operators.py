@@ -138,6 +138,22 @@ def test_passages_of_hot_triggers_and_keys(spark, monkeypatch, chunk, bucket, ho
     assert got(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)) == passages(rows)
 
 
+def test_chunks_of_a_range_go_as_one(spark, monkeypatch):
+    """Rows between chunks and buckets are one for each unit and bucket at most, not one for each chunk and bucket."""
+    for name, value in (("CHUNK_BYTES", 500), ("RANGE_BYTES", 4000), ("BUCKET_BYTES", 2000), ("UNITS", 2)):
+        monkeypatch.setattr(suffix_dedup, name, value, raising=False)
+    tables = {}
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name, f=suffix_dedup.materialize: tables.setdefault(name, f(df, name)))
+    r = random.Random(8)
+    passage = ["".join(r.choice("abcdefgh") for _ in range(90)) for _ in range(12)]
+    rows = [(i, "".join(r.choice("abcdefgh") for _ in range(60)) + "".join(r.sample(passage, 2))) for i in range(160)]
+    found = got(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == passages(rows)
+    chunks = tables["chunks"].count()
+    for name, kinds in (("known", 2), ("shared", 1)):
+        assert tables[name].groupBy("bucket", "kind").count().agg({"count": "max"}).first()[0] <= chunks / 4, name
+
+
 def test_order_of_suffixes():
     r = random.Random(9)
     data = np.frombuffer(("".join(r.choice("ab") for _ in range(3000)) + "a" * 200).encode(), np.uint8)
