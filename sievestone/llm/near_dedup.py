@@ -33,6 +33,10 @@ NODE, LEADERS = 64, 3  # classes that are compared exhaustively; those of a larg
 SLACK = 3.3
 #: Classes of a part of a large group of the second join; of a class's groups there, how many go with it.
 PART, CARRIED = 512, 16
+#: Pairs of a block from which on bounds are taken, and shingles that the bounds count one by one.
+MANY, COLUMNS = 512, 4096
+#: Pairs of a block of the second join that are compared at once.
+AT_ONCE = 1 << 17
 #: Counters by which the second join orders shingles; their sum is held by every task.
 COUNTERS = 1 << 16
 #: Bits of the filter that leaves out most texts that are not asked for: 8 MB, whatever the input.
@@ -203,6 +207,28 @@ def _alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -
     return i[keep], j[keep], likely[keep]
 
 
+def _may_link(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], numerator: int, denominator: int) -> np.ndarray:
+    """Whether sets i and j can be linked, by what they share of the COLUMNS shingles that most sets here have, and as many of
+    the others as both could share.  It leaves out no pair that is linked."""
+    use, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = at[: len(i)], at[len(i) :]
+    size = np.array([len(sets[x]) for x in use])
+    _, column, times = np.unique(np.concatenate([sets[x] for x in use]), return_inverse=True, return_counts=True)
+    most = np.argsort(-times, kind="stable")[: min(COLUMNS, np.count_nonzero(times > 1))]
+    place = np.full(len(times), -1)
+    place[most] = np.arange(len(most))
+    owner, at = np.repeat(np.arange(len(use)), size), place[column]
+    rest = np.bincount(owner[(at < 0) & (times[column] > 1)], minlength=len(use))
+    has = np.zeros((len(use), -(-len(most) // 64) * 64), bool)
+    has[owner[at >= 0], at[at >= 0]] = True
+    bits, keep = np.packbits(has, axis=1).view(U64), np.zeros(len(i), bool)
+    for x in range(0, len(i), 1 << 14):
+        a, b = i[x : x + (1 << 14)], j[x : x + (1 << 14)]
+        both = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64) + np.minimum(rest[a], rest[b])
+        keep[x : x + (1 << 14)] = denominator * both >= numerator * (size[a] + size[b] - both)
+    return keep
+
+
 class _Union:
     def __init__(self) -> None:
         self.parent: dict[int, int] = {}
@@ -266,6 +292,12 @@ def _links(blocks: DataFrame, texts: DataFrame, k: int, numerator: int, denomina
         _, first, which = np.unique(v[need], return_index=True, return_inverse=True)  # a class's set once, in whatever blocks
         owner, values = shingle_sets(*texts_of(table["text"].take(pa.array(need[first]))), k)
         sets = np.split(values, np.searchsorted(owner, np.arange(1, len(first))))
+        # In a family that falls apart nearly all pairs are proposed and few are linked: of many pairs, bounds tell most apart.
+        keep, edge = np.ones(len(i), bool), np.flatnonzero(np.append(True, block[i][1:] != block[i][:-1]))
+        for a, b in zip(edge, [*edge[1:], len(i)], strict=True):
+            if b - a >= MANY:
+                keep[a:b] = _may_link(which[np.searchsorted(need, i[a:b])], which[np.searchsorted(need, j[a:b])], sets, numerator, denominator)
+        i, j, likely = i[keep], j[keep], likely[keep]
         of = dict(zip(need.tolist(), which.tolist(), strict=True))
         # Vertices of a block's graph: (block, component), so that what is connected already counts as such.
         _, vertex = np.unique(np.stack([block, comp]), axis=1, return_inverse=True)
@@ -348,21 +380,27 @@ def _dealt(groups: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("node", F.least("part", "with"), F.greatest("part", "with")).alias("block"), "node", "part", (F.col("part") == F.col("with")).alias("alone"), "v", "component", "nodes")
 
 
-def _met_before(nodes: pa.Array, node: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether rows i and j have a group in common that comes before `node`, as far as `nodes` tell."""
+def _met_before(nodes: pa.Array, node: int) -> np.ndarray:
+    """Bits for each row: two rows have a group in common that comes before `node`, as far as `nodes` tell, if their bits overlap."""
     size = np.diff(nodes.offsets.to_numpy())
     owner, flat = np.repeat(np.arange(len(size)), size), nodes.flatten().to_numpy()
     owner, flat = owner[flat < node], flat[flat < node]
     _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
     several = times > 1
     column, owner = (np.cumsum(several) - 1)[column[several[column]]], owner[several[column]]
-    met = np.zeros(len(i), bool)
-    for x in range(0, int(several.sum()), 1024):
-        here = (column >= x) & (column < x + 1024)
-        has = np.zeros((len(size), 1024), np.float32)
-        has[owner[here], column[here] - x] = 1
-        met |= (has @ has.T)[i, j] > 0
-    return met
+    has = np.zeros((len(size), -(-int(several.sum()) // 64) * 64), bool)
+    has[owner, column] = True
+    return np.packbits(has, axis=1).view(U64)
+
+
+def _across(a: int, b: int, part: np.ndarray, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of the block a:b, some at a time: every two of a part alone, else one of either part.  Rows are sorted by part."""
+    middle = a + int(np.searchsorted(part[a:b], part[a], "right"))
+    step = max(1, AT_ONCE // (b - a))
+    for x in range(a, b if alone else middle, step):
+        i = np.arange(x, min(x + step, b if alone else middle))
+        owner, rank = spread(b - 1 - i if alone else np.full(len(i), b - middle))
+        yield i[owner], (i[owner] + 1 if alone else middle) + rank
 
 
 def _proposed(groups: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -371,23 +409,26 @@ def _proposed(groups: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     more than CARRIED), and no text travels for those that nothing is near."""
 
     def run(table: pa.Table) -> pa.Table:
-        block = table["block"].to_numpy()
-        table = table.take(pa.array(np.argsort(block, kind="stable")))
+        table = table.take(pa.array(np.lexsort((table["part"].to_numpy(), table["block"].to_numpy()))))
         block, v, n, comp, part, alone = (table[c].to_numpy() for c in ("block", "v", "n", "component", "part", "alone"))
         sketch, nodes, node = _matrix(table["sketch"].combine_chunks(), SIZE // 32), table["nodes"].combine_chunks(), table["node"].to_numpy()
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
         for a, b in zip(edge, [*edge[1:], len(block)], strict=True):
-            i, j = _pairs(block[a:b], n[a:b], threshold)
-            new = (comp[a:b][i] != comp[a:b][j]) & ((part[a:b][i] != part[a:b][j]) | alone[a:b][i])
-            i, j = i[new], j[new]
-            if len(i):
-                new = ~_met_before(nodes.slice(a, b - a), int(node[a]), i, j)
-                i, j, _ = _alike(sketch[a:b], i[new], j[new], threshold)
-            u = _Union()
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                u.join(x, y)
-            rows = np.unique(np.concatenate([i, j]))
+            met, u, near = _met_before(nodes.slice(a, b - a), int(node[a])), _Union(), np.zeros(b - a, bool)
+            for i, j in _across(a, b, part, bool(alone[a])):
+                new = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+                i, j, _ = _alike(sketch, i[new], j[new], threshold)
+                new = ~(met[i - a] & met[j - a]).any(1)
+                i, j = i[new] - a, j[new] - a
+                near[i] = near[j] = True
+                while len(i):  # each row's first pair connects most; of the rest, pairs that are still apart go again
+                    first = np.concatenate([np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1]])
+                    for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                        u.join(x, y)
+                    root = np.array([u.root(x) for x in range(b - a)])
+                    i, j = i[open_ := root[i] != root[j]], j[open_]
+            rows = np.flatnonzero(near)
             root = np.array([u.root(x) for x in rows.tolist()], np.int64)
             out.append((mix(block[a:b][rows].view(U64) ^ v[a:b][root].view(U64)).view(np.int64), a + rows))
         block, rows = (np.concatenate(x) for x in zip(*out, strict=True))

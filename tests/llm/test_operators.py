@@ -291,6 +291,21 @@ def test_near_duplicates(spark, monkeypatch, k, percent, node):
     assert found == want
 
 
+@pytest.mark.parametrize("columns", [64, 4096])
+def test_bounds_of_a_family(columns, monkeypatch):
+    """Members of a family that falls apart: bounds leave out none that is linked, and nearly all that aren't."""
+    monkeypatch.setattr(near_dedup, "COLUMNS", columns)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([np.arange(120)[rng.random(120) > rng.choice([0.02, 0.2])], rng.integers(1000, 1100, 3)])).astype(np.uint64) for _ in range(80)]
+    i, j = np.triu_indices(80, 1)
+    shared = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
+    linked = 100 * shared >= 85 * np.array([len(sets[x]) + len(sets[y]) for x, y in zip(i, j, strict=True)]) - 85 * shared
+    kept = near_dedup._may_link(i, j, sets, 85, 100)
+    assert linked.any() and not (linked & ~kept).any() and (columns < 120 or (kept & ~linked).sum() <= 0.05 * (~linked).sum())
+    apart = [np.arange(x * 9, x * 9 + 9, dtype=np.uint64) for x in range(3)]
+    assert not near_dedup._may_link(np.array([0, 0, 1]), np.array([1, 2, 2]), apart, 85, 100).any()
+
+
 def test_near_duplicates_of_a_template(spark):
     """Pairs below the threshold that all share a template, with a near copy here and there: none is linked but those, and what
     is compared again grows with the documents, not with their pairs."""
