@@ -31,6 +31,8 @@ SAMPLE_BYTES = 16 << 10
 READERS = 1024
 #: Distinct pre-tokens that a worker remembers; beyond, it forgets all and starts anew.
 REMEMBERED = 1_000_000
+#: New pre-tokens that the library gets in one text.
+JOINED = 64
 MAGIC = b"SVTOK01\n"
 #: magic, dictionary hash, bytes of an id, documents, place of the index.
 HEADER = struct.Struct("<8s32sBQQ")
@@ -45,21 +47,47 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.pre = pretokens.load(path)
         self.width = 2 if self.pre.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.mark, self.mark_id = self._separator()
         self._forget()
 
+    def _separator(self) -> tuple[bytes, int]:
+        """A special string, and its id, that the library takes out wherever it stands, alone and first of all: the one there
+        is, not matched by its surroundings, and without an end that is its beginning.  Else none."""
+        added = list(self.pre.tokenizer.get_added_tokens_decoder().items())
+        if len(added) != 1:
+            return b"", -1
+        number, t = added[0]
+        s = t.content.encode()
+        plain = s and not (t.single_word or t.lstrip or t.rstrip or t.normalized) and not any(s.startswith(s[-k:]) for k in range(1, len(s)))
+        return (s, number) if plain else (b"", -1)
+
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.flat, self.used, self.off = np.zeros(1 << 16, np.uint32), 0, [0]
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        self.flat, self.used, self.off = np.zeros(1 << 16, np.uint32), 0, np.zeros(1 << 16, np.int64)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has).  JOINED words go to the library as one text, with the separator between
+        them: it encodes each as if alone, and a call for each word costs more than the word."""
+        if self.mark:
+            joined = [self.mark.join(words[x : x + JOINED]).decode() for x in range(0, len(words), JOINED)]
+            ids = np.array([*chain.from_iterable([*e.ids, self.mark_id] for e in self.pre.tokenizer.encode_batch_fast(joined, add_special_tokens=False))], np.uint32)
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) == len(words):
+                return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
+        coded = [e.ids for e in self.pre.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.array([len(c) for c in coded])
+        return np.fromiter(chain.from_iterable(coded), np.uint32, sizes.sum()), sizes
+
+    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
         for at in range(0, len(words), 1 << 14):
-            coded = [e.ids for e in self.pre.tokenizer.encode_batch_fast(words[at : at + (1 << 14)], add_special_tokens=False)]
-            sizes = np.array([len(c) for c in coded])
-            ids = np.fromiter(chain.from_iterable(coded), np.uint32, sizes.sum())
+            ids, sizes = self._encoded(words[at : at + (1 << 14)])
+            n = len(self.known) + at
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while n + len(sizes) >= len(self.off):
+                self.off = np.concatenate([self.off, np.zeros_like(self.off)])
             self.flat[self.used : self.used + len(ids)] = ids
-            self.off += (self.used + np.cumsum(sizes)).tolist()
+            self.off[n + 1 : n + len(sizes) + 1] = self.used + np.cumsum(sizes)
             self.used += len(ids)
         self.known.update(zip(hashes, range(len(self.known), len(self.known) + len(hashes)), strict=True))
 
@@ -75,11 +103,11 @@ class Encoder:
             pos = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
             raw, a, b = data.tobytes(), pos[begin[first[new]]].tolist(), pos[end[first[new]]].tolist()
             at[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self._learn(u[new].tolist(), [raw[x:y].decode() for x, y in zip(a, b, strict=True)])
-        off = np.array(self.off)
-        size = (off[1:] - off[:-1])[at][which]
+            self._learn(u[new].tolist(), [raw[x:y] for x, y in zip(a, b, strict=True)])
+        at = at[which]
+        size = self.off[at + 1] - self.off[at]
         owner, rank = spread(size)
-        ids = self.flat[off[at[which]][owner] + rank]
+        ids = self.flat[self.off[at][owner] + rank]
         counts = np.bincount(text, size, len(offsets) - 1).astype(np.int64)
         return self._special(data, offsets, ids, counts)
 

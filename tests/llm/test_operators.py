@@ -76,6 +76,33 @@ def test_token_files(spark, tmp_path):
     assert token_output.read_tokens(empty, d).count() == 0
 
 
+def test_pre_tokens_go_to_the_library_together():
+    """The library gets few texts for many new pre-tokens, and the ids are its own, special strings and parts of them included."""
+    texts = [*(f"word{i} <|x{i}|> |>endoftext<| Z{i}\n\n  \u00e9{i}'s" for i in range(400)), "<|", "|>", "<|endoftext", "a<|endoftext|>b", "", "<|<|endoftext|>|>"]
+    e = token_output.Encoder(BPE)
+    sent, real = [], e.pre.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, x, **options):
+            sent.extend(x)
+            return real.encode_batch_fast(x, **options)
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+    data = [t.encode() for t in texts]
+    pre = e.pre
+    e.pre = type("P", (), {"tokenizer": Counting(), "cut": pre.cut, "hashes": staticmethod(pre.hashes), "special": pre.special})()
+    for _ in range(2):  # new words, then known ones
+        ids, counts = e(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library().encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(e.known) > 20 * len(sent)
+    e.mark = b""
+    e._forget()
+    ids, _ = e(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert ids.tolist() == [i for t in texts for i in library().encode(t, add_special_tokens=False).ids]
+
+
 # --- licenses
 def test_licenses(spark):
     texts = ["All rights reserved. CC-BY cc by", "general public license public general  PUBLIC\nlicense", "Released under the  MIT license!", "released under MIT", "cc by cc by", None, "", "Kcc by", "licensed under apache license version 2\nLicensed under CC BY-NC 4.0."]
