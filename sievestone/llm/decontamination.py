@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .textops import BYTE_VALUE, LOWER, U64, WORD, mix, prefix_hash, runs, span_hash, spread, texts_of
+from .textops import LOWER, U64, WORD, mix, runs, spread, texts_of, word_hashes
 
 SIMILARITY = 0.8
 #: Items of fewer words can't be told from ordinary text: leaks() reports where they stand, clean() removes nothing for them.
@@ -32,7 +32,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = texts_of(column)
     low = LOWER[data]
     begin, end, doc = runs(WORD[low], offsets)
-    return span_hash(prefix_hash(BYTE_VALUE[low]), begin, end) | U64(1), np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))]).astype(np.int64)
+    return word_hashes(low, begin, end)[0] | U64(1), np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))]).astype(np.int64)
 
 
 def _grams(words: np.ndarray, size: int) -> np.ndarray:

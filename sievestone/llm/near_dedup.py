@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import bounded_broadcast, drop_materialized, materialize, small_batches
-from .textops import BYTE_VALUE, LOWER, NOT_SPACE, U64, mix, prefix_hash, runs, span_hash, spread, texts_of
+from .textops import LOWER, NOT_SPACE, U64, mix, runs, spread, texts_of, word_hashes
 
 SIZE = 128  # coordinates of a sketch: 16 bits each where nodes are chosen, the lower 2 where sketches are compared
 TREES, LEVELS = 8, 4
@@ -52,7 +52,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     fewer words has its whole sequence as the one shingle; without words it has none."""
     low = LOWER[data]
     begin, end, doc = runs(NOT_SPACE[low], offsets)
-    word = span_hash(prefix_hash(BYTE_VALUE[low]), begin, end)
+    (word,) = word_hashes(low, begin, end)
     count = np.bincount(doc, minlength=len(offsets) - 1)
     first = np.cumsum(count) - count
     size = np.where(count >= k, count - k + 1, 0)

@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from .textops import U64, code_points, mix, prefix_hash, span_hash
+from .textops import code_points, word_hashes
 
 SPACE, BLANK, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 4, 255
 
@@ -61,8 +61,9 @@ class Pretokens:
         return cp, begin, np.append(begin[1:], n), np.searchsorted(at, begin, "right") - 1
 
     @staticmethod
-    def hashes(cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return span_hash(prefix_hash(mix(cp.astype(U64) + U64(1))), begin, end)
+    def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each pre-token, given by its bytes: one to look it up by, one to be sure of it."""
+        return word_hashes(data, begin, end, check=True)
 
 
 @lru_cache(maxsize=2)

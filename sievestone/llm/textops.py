@@ -53,11 +53,50 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[start:end] modulo 2**64, the same wherever the span stands."""
+    """Polynomial hash of values[start:end] modulo 2**64, the same wherever the span stands.  Spans may overlap, but
+    should be short: from 1,024 values on there are different ones that are equal by this hash for every base."""
     _, down = _Powers.get(len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64))
 
 
+#: Places in a span for which every byte's value is in a table.
+NEAR = 64
+
+
+def _placed(place: np.ndarray, byte: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit value for a byte at a place in its span: unrelated for other places, so no arrangement of bytes has another's sum."""
+    return mix(BYTE_VALUE[byte] + mix((place.astype(U64) + U64(seed)) * U64(0xD1342543DE82EF95)))
+
+
+_TABLES = [_placed(np.repeat(np.arange(NEAR), 256), np.tile(np.arange(256), NEAR), seed) for seed in (1, 1 << 40)]
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, check: bool = False) -> tuple[np.ndarray, ...]:
+    """The 64-bit hash of each data[begin:end], and another one with `check`.  Spans are not empty, ascend and don't overlap.
+
+    A hash is the sum of a value for each byte that depends on its place in the span, so unlike span_hash's polynomial it
+    has no pairs of spans (such as Thue-Morse words) that are equal for every base."""
+    if not len(begin):
+        return (np.zeros(0, U64),) * (1 + check)
+    first = np.zeros(len(data), np.int32 if len(data) < 1 << 31 else np.int64)
+    first[begin] = begin
+    place = np.arange(len(data), dtype=first.dtype) - np.maximum.accumulate(first)
+    long = np.flatnonzero(end - begin > NEAR)
+    owner, rank = spread((end - begin)[long] - NEAR)
+    far = begin[long][owner] + rank + NEAR
+    at = np.minimum(place, NEAR - 1)
+    at <<= 8
+    at += data
+    edges = np.stack([begin, end], axis=1).ravel()
+    out = []
+    for seed, table in zip((1, 1 << 40), _TABLES[: 1 + check], strict=False):
+        values = np.zeros(len(data) + 1, U64)
+        np.take(table, at, out=values[:-1])
+        values[far] = _placed(place[far], data[far], seed)
+        out.append(mix(np.add.reduceat(values, edges)[::2] + (end - begin).astype(U64)))
+    return tuple(out)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets of each).  Null is like an empty text; invalid UTF-8 is replaced by U+FFFD."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,6 +121,11 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), at[offsets]
 
 
+def byte_places(data: np.ndarray) -> np.ndarray:
+    """Where each code point begins among the bytes, and their end."""
+    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, text number) of the maximal runs of True that don't cross texts."""
     edge = np.zeros(len(inside) + 1, bool)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from . import pretokens
 from .bpe import Merges
 from .shared import small_batches
-from .textops import spread, texts_of
+from .textops import byte_places, spread, texts_of
 
 LIMIT = 512
 
@@ -40,10 +40,10 @@ class ByteLevelCounter:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right = (np.array([vocab[p[k]] for p in pairs]) for k in (0, 1))
         self.merges = Merges(left, right, np.arange(len(pairs)), np.array([vocab[a + b] for a, b in pairs]))
-        self.single = self._proven(vocab, {c: b for b, c in enumerate(symbols)})
+        self.single, self.sure = self._proven(vocab, {c: b for b, c in enumerate(symbols)})
 
-    def _proven(self, vocab: dict[str, int], byte: dict[str, int]) -> np.ndarray:
-        """Sorted hashes of the vocabulary's strings that the library itself encodes, alone, as one token."""
+    def _proven(self, vocab: dict[str, int], byte: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes, sorted by the first, of the vocabulary's strings that the library itself encodes, alone, as one token."""
         strings = []
         for token in vocab:
             try:
@@ -52,21 +52,30 @@ class ByteLevelCounter:
                 continue
         coded = self.pre.tokenizer.encode_batch(strings, add_special_tokens=False)
         alone = pa.array([s for s, e in zip(strings, coded, strict=True) if len(e.ids) == 1 and not any(x in s for x in self.pre.special)], pa.string())
-        cp, begin, end, _ = self.pre.cut(*texts_of(alone))
+        data, offsets = texts_of(alone)
+        _, begin, end, _ = self.pre.cut(data, offsets)
         assert len(begin) == len(alone)
-        return np.sort(self.pre.hashes(cp, begin, end))
+        pos = byte_places(data)
+        found, sure = self.pre.hashes(data, pos[begin], pos[end])
+        order = np.argsort(found)
+        return found[order], sure[order]
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Tokens of each text without special strings."""
-        cp, begin, end, text = self.pre.cut(data, offsets)
-        found = self.pre.hashes(cp, begin, end)
+        """Tokens of each text without special strings.  Pre-tokens are the same only if both their hashes are."""
+        _, begin, end, text = self.pre.cut(data, offsets)
+        pos = byte_places(data)
+        begin, end = pos[begin], pos[end]
+        found, sure = self.pre.hashes(data, begin, end)
         at = np.minimum(np.searchsorted(self.single, found), len(self.single) - 1)
-        rest = np.flatnonzero(self.single[at] != found)
+        rest = np.flatnonzero((self.single[at] != found) | (self.sure[at] != sure))
         tokens = np.ones(len(begin), np.int64)
         if len(rest):
             _, first, which = np.unique(found[rest], return_index=True, return_inverse=True)
-            pos = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-            start, stop = pos[begin[rest[first]]], pos[end[rest[first]]]
+            other = sure[rest] != sure[rest[first]][which]
+            if other.any():  # one first hash, two pre-tokens: each for itself
+                which[other] = len(first) + np.arange(other.sum())
+                first = np.concatenate([first, np.flatnonzero(other)])
+            start, stop = begin[rest[first]], end[rest[first]]
             owner, rank = spread(stop - start)
             symbols = self.byte_id[data[start[owner] + rank]]
             ends = np.cumsum(stop - start)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import pretokens
 from .shared import materialize, shared_dir, small_batches
-from .textops import spread, texts_of
+from .textops import byte_places, spread, texts_of
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
@@ -64,6 +64,7 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.used, self.off = np.zeros(1 << 16, np.uint32), 0, np.zeros(1 << 16, np.int64)
+        self.sure = np.zeros(1 << 16, np.uint64)
 
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, how many each has).  JOINED words go to the library as one text, with the separator between
@@ -78,7 +79,11 @@ class Encoder:
         sizes = np.array([len(c) for c in coded])
         return np.fromiter(chain.from_iterable(coded), np.uint32, sizes.sum()), sizes
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, hashes: list[int], sure: np.ndarray, words: list[bytes]) -> None:
+        n = len(self.known)
+        while n + len(sure) > len(self.sure):
+            self.sure = np.concatenate([self.sure, np.zeros_like(self.sure)])
+        self.sure[n : n + len(sure)] = sure
         for at in range(0, len(words), 1 << 14):
             ids, sizes = self._encoded(words[at : at + (1 << 14)])
             n = len(self.known) + at
@@ -93,32 +98,35 @@ class Encoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
-        cp, begin, end, text = self.pre.cut(data, offsets)
-        u, first, which = np.unique(self.pre.hashes(cp, begin, end), return_index=True, return_inverse=True)
+        _, begin, end, text = self.pre.cut(data, offsets)
+        pos = byte_places(data)
+        begin, end = pos[begin], pos[end]
+        found, sure = self.pre.hashes(data, begin, end)
+        u, first, which = np.unique(found, return_index=True, return_inverse=True)
         if len(self.known) + len(u) > REMEMBERED:
             self._forget()
         hashes = u.tolist()
         at = np.fromiter(map(self.known.get, hashes, repeat(-1)), np.int64, len(u))
         if len(new := np.flatnonzero(at < 0)):
-            pos = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-            raw, a, b = data.tobytes(), pos[begin[first[new]]].tolist(), pos[end[first[new]]].tolist()
+            raw, a, b = data.tobytes(), begin[first[new]].tolist(), end[first[new]].tolist()
             at[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self._learn(u[new].tolist(), [raw[x:y] for x, y in zip(a, b, strict=True)])
+            self._learn(u[new].tolist(), sure[first[new]], [raw[x:y] for x, y in zip(a, b, strict=True)])
         at = at[which]
         size = self.off[at + 1] - self.off[at]
         owner, rank = spread(size)
         ids = self.flat[self.off[at][owner] + rank]
         counts = np.bincount(text, size, len(offsets) - 1).astype(np.int64)
-        return self._special(data, offsets, ids, counts)
+        # A pre-token that shares its first hash with another, but not the second: the library encodes such texts.
+        return self._special(data, offsets, ids, counts, set(text[self.sure[at] != sure].tolist()))
 
-    def _special(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts with special strings, which the library takes out before it cuts, it encodes itself."""
+    def _special(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, counts: np.ndarray, also: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with special strings, which the library takes out before it cuts, it encodes itself, and `also` these."""
         raw = data.tobytes()
-        if not any(s.encode() in raw for s in self.pre.special):
+        if not also and not any(s.encode() in raw for s in self.pre.special):
             return ids, counts
         texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         parts = np.split(ids, np.cumsum(counts)[:-1])
-        parts = [np.array(self.pre.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if any(s in t for s in self.pre.special) else p for t, p in zip(texts, parts, strict=True)]
+        parts = [np.array(self.pre.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if k in also or any(s in t for s in self.pre.special) else p for k, (t, p) in enumerate(zip(texts, parts, strict=True))]
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
