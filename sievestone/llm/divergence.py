@@ -20,11 +20,11 @@ from .shared import bounded_broadcast, materialize
 #: Terms: letters a-z, lower-cased from A-Z, and all beyond ASCII.  On UTF-8 bytes this is the same as on characters.
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 MIN_DOCS, TOP = 10, 10
-#: Kept terms in a chunk of the dictionary, and sources in a block: a pair of blocks has 64 vectors of a chunk, 4 MB.
-CHUNK, BLOCK = 8192, 32
+#: Kept terms in a chunk of the dictionary, and sources in a block: a pair of blocks has 64 vectors of a chunk, 0.5 MB.
+CHUNK, BLOCK = 1024, 32
 SCALE, DIGITS = 1000, 3
 #: Different words a task adds up before it lets them go.
-HELD = 1 << 18
+HELD = 1 << 17
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
@@ -35,10 +35,13 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
         held: defaultdict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
 
         def out() -> pa.RecordBatch:
-            rows = [(*k, t, n, df[t]) for k, (count, df) in held.items() for t, n in count.items()]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "df"])
+            sizes = [len(count) for count, _ in held.values()]
+            group = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            names = [pa.array([k[i] for k in held], pa.string()).take(pa.array(group)) for i in (0, 1)]
+            terms = pa.array((t for count, _ in held.values() for t in count), pa.binary())
+            n = np.fromiter((x for count, _ in held.values() for x in count.values()), np.int64, len(group))
+            df = np.fromiter((d[t] for count, d in held.values() for t in count), np.int64, len(group))
+            return pa.RecordBatch.from_arrays([*names, terms, pa.array(n), pa.array(df)], ["lang", "source", "term", "n", "df"])
 
         for b in batches:
             for k, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
@@ -80,7 +83,7 @@ def chunk_of(firsts: dict[str, list[bytes]]) -> Callable[..., Column]:
 def vectors(kept: DataFrame, dictionary: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, chunk, g, n): for every group (lang, source, g) with a kept term in a chunk the dense counts of its terms, as bytes.
 
-    Terms go to their chunk by the chunks' first terms, one string for each 8,192 kept terms; a chunk's sorted terms
+    Terms go to their chunk by the chunks' first terms, one string for each 1,024 kept terms; a chunk's sorted terms
     turn them into ids, and ids into places of the vector."""
     firsts: defaultdict[str, list[bytes]] = defaultdict(list)
     for lang, _, term in sorted(map(tuple, dictionary.select("lang", "chunk", F.col("terms")[0]).collect())):
