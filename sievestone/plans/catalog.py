@@ -196,7 +196,7 @@ def domain_profiles(spark: SparkSession, d: str) -> DataFrame:
     return report.domain_profiles(page_log(spark, d), docs)
 
 
-@query("""WITH dom AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain FROM pages), x AS (SELECT domain FROM dom ORDER BY domain LIMIT 50)
+@query("""WITH dom AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain FROM pages), x AS (SELECT domain FROM dom)
 SELECT domain, count(url) AS pages FROM x LEFT JOIN pages ON contains(lower(url), lower(domain)) GROUP BY domain""")
 def domain_theta_join(spark: SparkSession, d: str) -> DataFrame:
     """Every domain with the number of pages whose url contains it anywhere.
@@ -422,7 +422,7 @@ def idf_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 _VEC = "SELECT k, term, c * coalesce(idf, ln(100)) / sqrt(sum((c * coalesce(idf, ln(100))) ** 2) OVER (PARTITION BY k)) AS w FROM (SELECT k, term, count(*) AS c FROM {} GROUP BY ALL) LEFT JOIN idf USING (term)"
 
 
-@query(f"""WITH d AS (SELECT doc_id AS k, unnest({_RANK_TOKENS.format('text')}) AS term FROM documents), q AS (SELECT item_id AS k, unnest({_RANK_TOKENS.format('text')}) AS term FROM benchmark WHERE item_id < 20),
+@query(f"""WITH d AS (SELECT doc_id AS k, unnest({_RANK_TOKENS.format('text')}) AS term FROM documents), q AS (SELECT item_id AS k, unnest({_RANK_TOKENS.format('text')}) AS term FROM benchmark),
 idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT k) + 1)) + 1 AS idf FROM d GROUP BY term), dv AS ({_VEC.format('d')}), qv AS ({_VEC.format('q')}),
 c AS (SELECT qv.k AS item_id, dv.k AS doc_id, round(sum(qv.w * dv.w), 6) AS cosine FROM qv JOIN dv USING (term) GROUP BY ALL) SELECT item_id, doc_id, cosine FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) <= 5""")
 def query_doc_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
