@@ -64,7 +64,8 @@ def classification(url: Column, f: Column | None = None) -> Column:
 
 
 CLEANLINESS = {"clean": 1.0, "noisy": 0.7}
-CONFIDENCE = {"trafilatura": 1.0, "readability": 0.75, "bs4_heuristic": 0.5, "heuristic": 0.5}
+#: By extraction method, of stored articles (fixed names) and of the ways of functions/maintext.py.
+CONFIDENCE = {"trafilatura": 1.0, "readability": 0.75, "bs4_heuristic": 0.5, "density": 1.0, "parents": 0.75, "heuristic": 0.5}
 
 
 def quality(title: Column, author: Column, date: Column, lang: Column, headings: Column, words: Column, html_quality: Column, problems: Column, method: Column, content: Column, as_of: Column) -> Column:
@@ -90,9 +91,9 @@ def extract(pages: DataFrame, as_of: Column, url: str = "url", html: str = "html
     f = F.col("_f")
     rows = pages.withColumn("_f", facts(F.col(url), F.coalesce(F.col(html), F.lit("")))).drop(html)
     rows = rows.withColumn("page_classification", classification(F.col(url), f))
-    shown = ["canonical_url", "title", "author", "published_date", "headings", "html_quality", "problems_detected", "main_content"]
+    shown = ["canonical_url", "title", "author", "published_date", "headings", "html_quality", "problems_detected", "main_content", "extraction_method"]
     rows = rows.select(*[c for c in rows.columns if c not in shown], *[f[c].alias(c) for c in shown], F.slice(f.images, 1, 3).alias("images")).drop("_f")
-    rows = rows.withColumns({"word_count": T.word_count(F.col("main_content")), "language": T.language(F.col("main_content")), "summary": T.summary(F.col("main_content")), "source_domain": url_part(F.col(url), "host"), "extraction_method": F.lit("heuristic"), "content_hash": T.content_hash(F.col("main_content"))})
+    rows = rows.withColumns({"word_count": T.word_count(F.col("main_content")), "language": T.language(F.col("main_content")), "summary": T.summary(F.col("main_content")), "source_domain": url_part(F.col(url), "host"), "content_hash": T.content_hash(F.col("main_content"))})
     q = quality(*[F.col(c) for c in ("title", "author", "published_date", "language", "headings", "word_count", "html_quality", "problems_detected", "extraction_method", "main_content")], as_of)
     rows = rows.withColumn("_q", q)
     return rows.withColumns({"quality_score": F.col("_q.score"), "quality_grade": F.col("_q.grade"), "quality_reasons": F.col("_q.reasons"), "quality_breakdown": F.col("_q.breakdown"), "page_type": F.col("page_classification.page_type"), "is_content": F.col("page_classification.is_content_page").cast("int")}).drop("_q")

@@ -94,7 +94,7 @@ def feature_labels(author: Column, date: Column, words: Column, method: Column,
     return F.array_compact(F.array(
         F.when(F.coalesce(author, F.lit("")) != "", "has_author").otherwise("no_author"), F.when(F.coalesce(date, F.lit("")) != "", "has_date").otherwise("no_date"),
         F.when(words < 300, "short_< 300w").when(words < 800, "medium_300-800w").when(words < 2000, "long_800-2000w").otherwise("very_long_> 2000w"),
-        F.when(method.contains("trafilatura"), "trafilatura").when(method.contains("readability"), "readability").when(method.contains("bs4") | method.contains("heuristic"), "bs4_heuristic"),
+        F.when(method.contains("trafilatura"), "trafilatura").when(method.contains("readability"), "readability").when(method.contains("bs4") | method.contains("heuristic"), "bs4_heuristic").when(method.isin("density", "parents"), method),
         F.when(html_quality.isin("clean", "noisy", "messy"), F.concat(F.lit("html_"), html_quality)),
     ))
 

@@ -559,6 +559,13 @@ def html_extract(spark: SparkSession, d: str) -> DataFrame:
     return classify.extract(table(spark, d, "pages"), as_of())
 
 
+@query()
+def main_text(spark: SparkSession, d: str) -> DataFrame:
+    """The main text of every page and the way that found it."""
+    f = H.facts(F.col("url"), F.coalesce("html", F.lit("")))
+    return table(spark, d, "pages").withColumn("f", f).select("page_id", F.col("f.extraction_method").alias("extraction_method"), F.col("f.main_content").alias("main_content"), T.word_count(F.col("f.main_content")).alias("word_count"))
+
+
 @query()
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", H.markdown(F.col("url"), F.col("html")).alias("markdown"))
