@@ -11,7 +11,7 @@ from ..functions import constants as C
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import classify, dedup, frontier, ranking, report
+from ..operators import classify, dedup, frontier, ranking, report, retrieval, substring
 from ..session import materialize, small_side
 from ..sources import feeds
 from ..streaming import jobs
@@ -21,8 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Every query that depends on "now" is asked as of this day.
 AS_OF = "1998-12-01"
-#: Domains that are broadcast at a time.
-BLOCK_DOMAINS = 20_000
 
 
 def query(sql: str | None = None) -> Callable:
@@ -199,18 +197,9 @@ def domain_profiles(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH dom AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain FROM pages), x AS (SELECT domain FROM dom)
 SELECT domain, count(url) AS pages FROM x LEFT JOIN pages ON contains(lower(url), lower(domain)) GROUP BY domain""")
 def domain_theta_join(spark: SparkSession, d: str) -> DataFrame:
-    """Every domain with the number of pages whose url contains it anywhere.
-
-    Domains are broadcast in blocks of BLOCK_DOMAINS by hash; there is one block unless they are counted as more."""
+    """Every domain with the number of pages whose url contains it anywhere."""
     pages = table(spark, d, "pages").select("url")
-    domains = materialize(pages.select(U.url_part(F.col("url"), "host").alias("domain")).distinct())
-    blocks = domains.count() // BLOCK_DOMAINS + 1
-    hits = None
-    for k in range(blocks):
-        block = domains.filter(F.pmod(F.xxhash64("domain"), F.lit(blocks)) == k)
-        found = pages.join(F.broadcast(block), F.lower("url").contains(F.lower("domain"))).groupBy("domain").agg(F.count("*").alias("pages"))
-        hits = found if hits is None else hits.unionByName(found)
-    return domains.join(hits, "domain", "left").na.fill(0, ["pages"])
+    return substring.containing(pages, "url", pages.select(U.url_part(F.col("url"), "host").alias("domain")), "domain").withColumnRenamed("hits", "pages")
 
 
 @query(f"WITH {ART_SQL} SELECT language, count(*) AS cnt FROM art GROUP BY 1 ORDER BY cnt DESC, language LIMIT 20")
@@ -426,14 +415,9 @@ _VEC = "SELECT k, term, c * coalesce(idf, ln(100)) / sqrt(sum((c * coalesce(idf,
 idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT k) + 1)) + 1 AS idf FROM d GROUP BY term), dv AS ({_VEC.format('d')}), qv AS ({_VEC.format('q')}),
 c AS (SELECT qv.k AS item_id, dv.k AS doc_id, round(sum(qv.w * dv.w), 6) AS cosine FROM qv JOIN dv USING (term) GROUP BY ALL) SELECT item_id, doc_id, cosine FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) <= 5""")
 def query_doc_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest documents of every benchmark item, against all documents.
-
-    Items' vectors are broadcast if counted as few, so that pairs add up where a document's terms are."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    idf = materialize(ranking.vocabulary(docs, "doc_id", "text"))
-    asked = small_side(ranking.vectors(items, "item_id", "text", idf))
-    c = ranking.cosine(asked, "item_id", ranking.vectors(docs, "doc_id", "text", idf), "doc_id").withColumn("cosine", F.round("cosine", 6))
-    return ranking.top_per(c, "item_id", [F.desc("cosine"), F.col("doc_id")], 5).select("item_id", "doc_id", "cosine")
+    """The five nearest documents of every benchmark item, against all documents."""
+    found = retrieval.search(retrieval.build(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "benchmark"), "item_id", "text", 5)
+    return found.select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), F.col("score").alias("cosine"))
 
 
 _ASKED = "the nation on the other hand"
