@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialize, small_side
+from ..session import discard, materialize, small_side
 
 #: Documents of a block at most: bounds are kept for each term and block.
-BLOCK = 1024
+BLOCK = 4096
 #: Blocks that are searched first for each query, to learn what a result has to reach; queries that are searched together.
 FIRST, TOGETHER = 2, 512
 #: Weight of a term that no document has (a fixed value).
@@ -31,8 +31,8 @@ _INDEX = "term string, block long, idf double, most double, at binary, c binary,
 @dataclass
 class Index:
     """postings: one row for each term and block, with the term's idf, its largest weight in the block, and its documents there as
-    places and counts; and for each block a row without a term, with its documents' keys and norms.  Rows are ranged
-    by term, so a reader of few terms reads few of them.  vocabulary: (term, df, idf)."""
+    places and counts; and for each block a row without a term, with its documents' keys and norms.  Rows are dealt by
+    term and sorted by it, so a reader of few terms passes over most of a file.  vocabulary: (term, df, idf)."""
 
     rows: DataFrame
     vocabulary: DataFrame
@@ -71,8 +71,9 @@ def build(docs: DataFrame, key: str, text: str) -> Index:
     terms = blocks.select("block", F.posexplode(F.arrays_zip("terms", "dfs")).alias("place", "x")).select("block", "place", F.col("x.terms").alias("term"), F.col("x.dfs").alias("df"))
     counted = terms.groupBy("term").agg(F.sum("df").alias("df"))
     vocabulary = materialize(counted.select("term", "df", (F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1).alias("idf")))
-    weights = terms.select("block", "place", "term").join(vocabulary, "term").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "idf"))).alias("s"))
-    both = blocks.join(weights.select("block", F.col("s.idf").alias("idf")), "block", "left")
+    weights = terms.select("block", "place", "term").join(vocabulary.select("term", "idf"), "term").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "idf"))).alias("s"))
+    weights = materialize(weights.select("block", F.col("s.idf").alias("idf")))
+    both = blocks.join(weights, "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,7 +91,10 @@ def build(docs: DataFrame, key: str, text: str) -> Index:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in _INDEX.split(", ")])
 
     rows = both.select("block", "ids", "terms", "dfs", "at", "c", "idf").mapInArrow(run, _INDEX)
-    return Index(materialize(rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block")), vocabulary)
+    index = materialize(rows.repartition(F.coalesce("term", F.col("block").cast("string"))).sortWithinPartitions("term", "block"))
+    discard(blocks)
+    discard(weights)
+    return Index(index, vocabulary)
 
 
 def _asked(index: Index, queries: DataFrame, key: str, text: str) -> DataFrame:
