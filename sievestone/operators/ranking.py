@@ -9,6 +9,10 @@ from ..functions import text as T
 from ..session import materialize
 
 
+#: Sums of the same weights in another order differ by less.
+SAFE = 1e-9
+
+
 def vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, df, idf): idf = ln((N + 1) / (df + 1)) + 1.  N is one row, joined by broadcast."""
     n = docs.agg(F.count("*").alias("docs"))
@@ -43,11 +47,26 @@ def rank(docs: DataFrame, query: str, key: str, title: str, body: str) -> DataFr
     return out.withColumn("combined", F.least(F.col("cosine") * 0.5 + F.col("jaccard") * 0.2 + F.col("title_match") * 0.3, F.lit(1.0)))
 
 
+def prefix_terms(v: DataFrame, idf: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, term): of each normalised vector (key, term, w) the rarest terms, as many as leave a rest shorter than the threshold.
+
+    Two vectors whose product reaches the threshold share one of these terms: else all that they share lies in the rest of
+    the one whose prefix ends first, and the product is at most that rest's length.  Frequent terms are in a prefix
+    only where a text has little else."""
+    rarest = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("term"))
+    rest = F.sum(F.col("w") * F.col("w")).over(rarest.rowsBetween(Window.unboundedPreceding, 0))  # of this term and all more frequent ones
+    return v.join(idf.select("term", "df"), "term").withColumn("rest", rest).filter(F.col("rest") >= threshold * threshold - SAFE).select(key, "term")
+
+
 def similar_pairs(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """(a, b, cosine) for pairs a < b at the threshold or above."""
-    v = vectors(docs, key, text, vocabulary(docs, key, text))
+    """(a, b, cosine) for pairs a < b at the threshold or above.  Only pairs that share a term of both prefixes are compared, each
+    once, over all their terms; no pair is made of a term that is frequent in the prefixes of neither."""
+    idf = materialize(vocabulary(docs, key, text))
+    v = materialize(vectors(docs, key, text, idf))
+    p = materialize(prefix_terms(v, idf, key, threshold))
     a, b = v.toDF("a", "term", "wa"), v.toDF("b", "term", "wb")
-    return a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine") >= threshold)
+    met = p.toDF("a", "term").join(p.toDF("b", "term"), "term").filter("a < b").select("a", "b").distinct()
+    return met.join(a, "a").join(b, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine") >= threshold)
 
 
 def leader_clusters(keys: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
