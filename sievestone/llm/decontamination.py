@@ -23,6 +23,8 @@ REPEATS, STEPS, SAMPLED = 6, 13, 6
 ITEM_WORDS = 200_000
 #: Cells of the edit tables that are filled at a time.
 CELLS = 1 << 20
+#: Rows of the edit tables after which hopeless pairs are left out.
+CULL = 3
 _SEED = U64(0x9E3779B97F4A7C15)
 
 
@@ -145,7 +147,7 @@ class Index:
             y = min(len(order), x + 4096)
             y = x + max(1, min(y - x, CELLS // int((high - low)[order[x:y]].max() + 1)))
             e = order[x:y]
-            distance[e] = substring_distance(self.words, self.at[item[e]], self.size[item[e]], words, low[e], high[e])
+            distance[e] = substring_distance(self.words, self.at[item[e]], self.size[item[e]], words, low[e], high[e], k[e])
             x = y
         near = distance <= k
         doc, item, distance = doc[near], item[near], distance[near]
@@ -156,8 +158,10 @@ class Index:
         return doc[new], item[new], distance[new]
 
 
-def substring_distance(items: np.ndarray, at: np.ndarray, size: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least edit distance between each item and any substring of words[low:high]."""
+def substring_distance(items: np.ndarray, at: np.ndarray, size: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Least edit distance between each item and any substring of words[low:high]; beyond `limit`, some number above it.
+
+    The least entry of a row of the table never falls from row to row: pairs above their limit are left out of the rest."""
     width = int((high - low).max())
     kind = np.int16 if width + int(size.max()) < 1 << 14 else np.int32
     column = np.arange(width + 1, dtype=kind)
@@ -169,8 +173,8 @@ def substring_distance(items: np.ndarray, at: np.ndarray, size: np.ndarray, word
     own = items[np.minimum(at[:, None] + np.arange(int(size.max())), len(items) - 1)]
     place = np.minimum(np.searchsorted(known, own), len(known) - 1)
     own = np.where(known[place] == own, place, -1).astype(np.int32)
-    row = np.zeros((len(at), width + 1), kind)
-    out = np.zeros(len(at), np.int64)
+    row, live = np.zeros((len(at), width + 1), kind), np.arange(len(at))
+    out = limit + 1
     best = np.empty_like(row)
     for i in range(own.shape[1]):
         np.add(row, 1, out=best)
@@ -178,8 +182,16 @@ def substring_distance(items: np.ndarray, at: np.ndarray, size: np.ndarray, word
         best -= column
         np.minimum.accumulate(best, 1, out=row)
         row += column
-        done = size == i + 1
-        out[done] = row[done].min(1)
+        if i % CULL == CULL - 1 or (size[live] == i + 1).any():
+            least = row.min(1)
+            done = size[live] == i + 1
+            out[live[done]] = least[done]
+            go_on = ~done & (least <= limit[live])
+            if not go_on.any():
+                break
+            if go_on.mean() < 0.8:
+                live, row, text, own = live[go_on], row[go_on], text[go_on], own[go_on]
+                best = np.empty_like(row)
     return out
 
 
