@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,8 @@ from ..functions import constants as C
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import classify, dedup, frontier, ranking, report, retrieval, substring
-from ..session import materialize, small_side
+from ..operators import classify, dedup, fingerprints, frontier, ranking, report, retrieval, substring
+from ..session import materialize, shared_dir, small_side
 from ..sources import feeds
 from ..streaming import jobs
 from . import crawl
@@ -384,6 +385,21 @@ def simhash_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.simhash_pairs(T.simhash(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
+@query(f"""WITH {_SIM_SQL}, f AS (SELECT doc_id, coalesce(u, 0::UBIGINT) AS u FROM documents LEFT JOIN s USING (doc_id)), c AS (SELECT u, min(doc_id) AS class_id, count(*) AS copies FROM f GROUP BY u),
+l AS (SELECT x.u, count(*) AS links FROM c x JOIN c y ON x.u <> y.u AND bit_count(xor(x.u, y.u)) <= {dedup.DISTANCE} GROUP BY x.u) SELECT doc_id, class_id, copies, coalesce(links, 0) AS links FROM f JOIN c USING (u) LEFT JOIN l USING (u)""")
+def fingerprint_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by classes of equal fingerprints and the links of those, from an index that gets the English ones first and then the rest."""
+    docs = table(spark, d, "documents")
+    hashes = materialize(T.simhash(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id"))
+    index = fingerprints.FingerprintIndex.open(spark, shared_dir(spark), f"fingerprints_{uuid.uuid4().hex}", hashes.count())
+    english = F.col("lang").eqNullSafe("en")
+    for number, part in enumerate((hashes.filter(english), hashes.filter(~english))):
+        index.add(part, number, "doc_id", "simhash")
+    found = materialize(hashes.select("doc_id", F.col("simhash").alias("fingerprint")).join(index.classes(), "fingerprint").select("doc_id", "class_id", "copies", "links"))
+    index.drop()
+    return found
+
+
 @query("""WITH x AS (SELECT event_id, list_extract(['near_duplicate_simhash_0.91', 'title_similarity_0.95', 'canonical_url_match', 'normalized_url_match', 'amp_url', 'print_url', 'mobile_url', 'exact_content_hash', 'other'], (event_id % 9)::INT + 1) AS r FROM events)
 SELECT CASE WHEN contains(r, 'simhash') THEN 'SimHash near-duplicate' WHEN contains(r, 'title') THEN 'Title similarity' WHEN contains(r, 'canonical') OR contains(r, 'normalized') THEN 'URL normalization' WHEN contains(r, 'amp') THEN 'AMP variant' WHEN contains(r, 'print') THEN 'Print variant'
 WHEN contains(r, 'mobile') THEN 'Mobile variant' WHEN contains(r, 'hash') THEN 'Exact content hash' ELSE r END AS method, count(*) AS cnt FROM x GROUP BY 1""")
