@@ -16,6 +16,8 @@ from .dedup import DISTANCE
 SHARE = 4096
 #: Look-ups that one fingerprint may need.
 LOOKUPS = 4096
+#: Values of a bucket, as long as there are no more than 8,192 buckets.
+BUCKET = 200_000
 
 
 def _signed(x: int) -> int:
@@ -57,10 +59,12 @@ class FingerprintIndex:
     name: str
     parts: list[tuple[int, int, int]]
     distance: int
+    buckets: int
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, name: str, expected: int, distance: int = DISTANCE, buckets: int = 64) -> FingerprintIndex:
+    def open(cls, spark: SparkSession, path: str, name: str, expected: int, distance: int = DISTANCE, buckets: int | None = None) -> FingerprintIndex:
         """The index at a path, new or with what it has; expected and buckets are the same at each opening."""
+        buckets = buckets or max(8, min(8192, expected // BUCKET))
         columns = {
             "keys": ("key long, salt int, fingerprint long", "key, salt"), "hot": ("key long, shares int", None),
             "classes": ("fingerprint long, first long, copies long", "fingerprint"), "links": ("x long, y long, distance int", None),
@@ -71,7 +75,7 @@ class FingerprintIndex:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
             spark.sql(f"MSCK REPAIR TABLE {name}_{table}")
-        return cls(spark, name, shape(expected, distance), distance)
+        return cls(spark, name, shape(expected, distance), distance, buckets)
 
     def table(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
@@ -115,10 +119,10 @@ class FingerprintIndex:
         keyed = fresh.select(F.explode(F.array(*self._own(F.col("fingerprint")))).alias("key"), "fingerprint")
         self._write(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SHARE).select("key", F.ceil(F.col("n") / SHARE).cast("int")), "hot", batch)
         hot = self.table("hot").filter(F.col("batch") == batch).select("key", "shares")
-        salted = keyed.join(small_side(hot), "key", "left").select("key", F.pmod(F.xxhash64("fingerprint"), F.coalesce("shares", F.lit(1))).cast("int"), "fingerprint")
-        self._write(salted, "keys", batch)
+        salted = keyed.join(small_side(hot), "key", "left").select("key", F.pmod(F.xxhash64("fingerprint"), F.coalesce("shares", F.lit(1))).cast("int").alias("salt"), "fingerprint")
+        self._write(salted.repartition(self.buckets, "key", "salt"), "keys", batch)  # as it is bucketed: a file for each
         self._write(self.candidates(fresh, batch), "links", batch)
-        self._write(classes, "classes", batch)  # last: with it the batch is known
+        self._write(classes.repartition(self.buckets, "fingerprint"), "classes", batch)  # last: with it the batch is known
 
     def classes(self) -> DataFrame:
         """(fingerprint, class_id, copies, links): each value with the smallest id that has it, its rows, and the values linked with it."""
