@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,14 +87,81 @@ def adapted(interval: Column, changed: Column) -> Column:
     return F.when(changed, F.greatest(interval / C.INTERVAL_FACTOR, F.lit(float(C.MIN_INTERVAL)))).otherwise(F.least(interval * C.INTERVAL_FACTOR, F.lit(float(C.MAX_INTERVAL))))
 
 
+#: Exponents beyond which a map is constant on every interval of seconds: 1.5 ** 200 is 1e35.
+_FAR = 200
+
+
+def _scaled(x: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """x times the factor's power; for negative ones by division, so that what can be exact is."""
+    f = C.INTERVAL_FACTOR ** np.abs(power).astype(np.float64)
+    return np.where(power < 0, x / f, x * f)
+
+
+def _composed(power: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maps x -> min(max(x * factor ** power, low), high), those of each run (a run begins at each place in start) made into one.
+
+    The next map moves the bounds of the one before and keeps them within its own; neighbours of a run are joined in rounds."""
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(power))))
+    while len(power) > len(start):
+        first = np.searchsorted(run, run)
+        even = (np.arange(len(run)) - first) % 2 == 0
+        left = np.flatnonzero(even)
+        right = np.minimum(left + 1, len(run) - 1)
+        paired = (right > left) & (run[right] == run[left])
+        l, r = left[paired], right[paired]
+        low[l], high[l] = (np.clip(_scaled(edge[l], power[r]), low[r], high[r]) for edge in (low, high))
+        power[l] += power[r]
+        up, down = l[power[l] > _FAR], l[power[l] < -_FAR]
+        low[up], high[down], power[up], power[down] = high[up], low[down], 0, 0
+        power, low, high, run = power[left], low[left], high[left], run[left]
+    return power, low, high
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each key of a batch in order: its first and last observation and all steps between them as one map."""
+    part = TaskContext.get().partitionId()
+    for number, b in enumerate(batches):
+        key, t, digest = b.columns
+        if not b.num_rows:
+            continue
+        same = lambda c: pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+        one_key = same(key) | (pc.is_null(key[1:]).to_numpy(zero_copy_only=False) & pc.is_null(key[:-1]).to_numpy(zero_copy_only=False))
+        changed = pc.fill_null(pc.not_equal(digest[1:], digest[:-1]), False).to_numpy(zero_copy_only=False)
+        starts = np.append(True, ~one_key)
+        start = np.flatnonzero(starts)
+        last = np.append(start[1:], b.num_rows) - 1
+        changed = np.append(False, changed) & ~starts
+        power = np.where(starts, 0, np.where(changed, -1, 1)).astype(np.int64)
+        low, high = np.where(changed, float(C.MIN_INTERVAL), 0.0), np.where(power > 0, float(C.MAX_INTERVAL), np.inf)
+        changes = np.add.reduceat(changed.astype(np.int64), start)
+        power, low, high = _composed(power, low, high, start)
+        n, at = len(start), lambda c, places: c.take(pa.array(places))
+        yield pa.RecordBatch.from_arrays(
+            [at(key, start), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), at(digest, start), at(digest, last), at(t, last), pa.array(changes), pa.array(last - start - changes), pa.array(power), pa.array(low), pa.array(high)],
+            ["key", "part", "number", "was", "digest", "t", "changed", "same", "power", "low", "high"])
+
+
 def recrawl_fold(observed: DataFrame, key: str, ts: str, digest: str) -> DataFrame:
     """(key, last_crawled, interval, next_crawl, times_changed, times_unchanged): each key's observations in order of time.
 
-    The first sets the interval; each later one adapts it.  A native fold over the sorted observations of a key."""
-    seen = observed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).cast("timestamp").cast("double").alias("t"), F.col(digest).alias("h")))).alias("o"))
-    start = F.struct(F.lit(float(C.DEFAULT_INTERVAL)).alias("i"), F.col("o")[0].h.alias("h"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("u"))
-    fold = F.aggregate(F.slice("o", 2, 1_000_000_000), start, lambda a, x: F.struct(adapted(a.i, a.h != x.h).alias("i"), x.h.alias("h"), (a.c + F.when(a.h != x.h, 1).otherwise(0)).alias("c"), (a.u + F.when(a.h != x.h, 0).otherwise(1)).alias("u")))
-    done = seen.select(key, F.element_at("o", -1).t.alias("last_crawled"), fold.alias("f"))
+    The first sets the interval; each later one adapts it.  A step is a clamped multiplication, and such maps compose: rows are dealt by
+    ranges of (key, time, digest), so that a hot key lies in many tasks, each batch makes one map for each of its keys, and
+    only those (a row for each key and batch) meet by key.  Rows without a time are left out; one without a digest is no change."""
+    rows = observed.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").cast("double").alias("t"), F.col(digest).alias("digest")).filter("t IS NOT NULL")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    made = f"key {kind['key']}, part int, number int, was {kind['digest']}, digest {kind['digest']}, t double, changed long, same long, power long, low double, high double"
+    runs = rows.repartitionByRange("key", "t", "digest").sortWithinPartitions("key", "t", "digest").mapInArrow(_runs, made)
+    seen = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "number", "was", "digest", "t", "changed", "same", "power", "low", "high"))).alias("o"))
+    start = F.struct(F.lit(float(C.DEFAULT_INTERVAL)).alias("i"), F.lit(None).cast(kind["digest"]).alias("h"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("u"), F.lit(True).alias("first"))
+    factor = lambda r: F.pow(F.lit(float(C.INTERVAL_FACTOR)), F.abs(r.power))
+
+    def step(a: Column, r: Column) -> Column:
+        other = F.coalesce(a.h != r.was, F.lit(False))
+        i = F.when(a.first, a.i).otherwise(adapted(a.i, other))
+        moved = F.least(F.greatest(F.when(r.power < 0, i / factor(r)).otherwise(i * factor(r)), r.low), r.high)
+        return F.struct(moved.alias("i"), r.digest.alias("h"), (a.c + r.changed + F.when(~a.first & other, 1).otherwise(0)).alias("c"), (a.u + r.same + F.when(a.first | other, 0).otherwise(1)).alias("u"), F.lit(False).alias("first"))
+
+    done = seen.select(F.col("key").alias(key), F.element_at("o", -1).t.alias("last_crawled"), F.aggregate("o", start, step).alias("f"))
     return done.select(key, "last_crawled", F.col("f.i").alias("interval"), (F.col("last_crawled") + F.col("f.i")).alias("next_crawl"), F.col("f.c").alias("times_changed"), F.col("f.u").alias("times_unchanged"))
 
 
