@@ -68,3 +68,14 @@ def test_grams_are_not_counted_from_the_start(spark):
         low = re.sub(r"\s+", " ", t.lower())
         assert g == list(dict.fromkeys(low[i : i + 4] for i in range(len(low) - 3)))
     assert "substr" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rollup_is_not_sorted(spark, tmp_path):
+    from sievestone.plans.catalog import QUERIES
+
+    docs = [(i, f"A title of more than five words {i}\n" + "information and here " * 60, f"src{i}") for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found, all_ = QUERIES["research_pipeline"](spark, str(tmp_path)).collect(), QUERIES["research_rollup"](spark, str(tmp_path))
+    assert [r["combined_score"] for r in found] == sorted((r["combined_score"] for r in found), reverse=True)
+    assert all_.first()["articles"] == len(found) == 20
+    assert "Sort [" not in all_._jdf.queryExecution().optimizedPlan().toString()
