@@ -87,3 +87,15 @@ def test_substrings(spark, monkeypatch, bound):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert substring.containing(rows, "text", rows.limit(0), "text").count() == 0
+
+
+def test_blocks_are_bounded_by_tokens(spark, monkeypatch):
+    """Few long documents make as large a block as many short ones."""
+    monkeypatch.setattr(retrieval, "TOKENS", 50, raising=False)
+    monkeypatch.setattr(retrieval, "BATCH", 2, raising=False)
+    docs, items = [(i, " ".join(f"word{(i * k) % 40}" for k in range(i % 30))) for i in range(120)] + [(500, "word1 " * 80)], [(1, "word1 word2 word7")]
+    rows = spark.createDataFrame(docs, "k long, t string").coalesce(1)
+    tokens = [sum(int.from_bytes(r["c"][p : p + 4], "little") for p in range(0, len(r["c"]), 4)) for r in retrieval._inverted(rows.selectExpr("k", "split(t, ' ') AS w")).collect()]
+    assert sum(t > 50 for t in tokens) <= 1 and len(tokens) > 20
+    got = retrieval.search(retrieval.build(rows, "k", "t"), spark.createDataFrame(items, "q long, t string"), "q", "t", 5)
+    assert {tuple(r) for r in got.collect()} == plain_search(docs, items, 5)
