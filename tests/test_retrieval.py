@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievestone.functions import constants as C
@@ -99,3 +102,25 @@ def test_blocks_are_bounded_by_tokens(spark, monkeypatch):
     assert sum(t > 50 for t in tokens) <= 1 and len(tokens) > 20
     got = retrieval.search(retrieval.build(rows, "k", "t"), spark.createDataFrame(items, "q long, t string"), "q", "t", 5)
     assert {tuple(r) for r in got.collect()} == plain_search(docs, items, 5)
+
+
+def test_python_gets_one_block_at_a_time(spark, monkeypatch):
+    """However many rows a partition has: texts for one block, and blocks one by one, not as objects of their terms."""
+    real, given = retrieval.materialize, []
+    monkeypatch.setattr(retrieval, "materialize", lambda df, rows=None: given.append((df.columns, rows)) or real(df, rows))
+    docs, items = corpus(300, 4)
+    monkeypatch.setattr(retrieval, "BLOCK", 64)
+    rows = spark.createDataFrame(docs, "k long, t string").coalesce(1)
+    index = retrieval.build(rows, "k", "t")
+    sizes = {tuple(c): n for c, n in given}
+    assert sizes[("block", "ids", "terms", "dfs", "at", "c")] == 64 and sizes[tuple(index.rows.columns)] == 1
+    got = retrieval.search(index, spark.createDataFrame(items, "q long, t string"), "q", "t", 5)
+    assert {tuple(r) for r in got.collect()} == plain_search(docs, items, 5)
+    n, each = 40_000, 5  # terms of one block
+    names, numbers = pa.array([[f"term number {k}" for k in range(n)]]), np.arange(n * each)
+    block = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([np.arange(4096, dtype="<i8").tobytes()]), names, pa.array([[each] * n], pa.list_(pa.int32())), pa.array([(numbers % 4096).astype("<u2").tobytes()]), pa.array([np.ones(n * each, "<u4").tobytes()]), pa.array([[1.5] * n])], ["block", "ids", "terms", "dfs", "at", "c", "idf"])
+    tracemalloc.start()
+    out = list(retrieval._postings(iter([block])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == n + 1 and peak < 60 * n * each, peak
