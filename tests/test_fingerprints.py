@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -98,3 +99,23 @@ def test_history_is_not_shuffled(spark, tmp_path):
     above = plan[: plan.index(scan)].splitlines()
     assert "Bucketed: true" in scan and not any("Exchange" in line for line in above[-3:]), plan
     assert plan.count("SortMergeJoin") >= 1
+
+
+@pytest.mark.parametrize("cheap", [10**9, 1e-9])
+def test_links_are_counted_in_blocks_or_by_look_ups(spark, tmp_path, monkeypatch, cheap):
+    """Both give each value's links with older and with new values; what is stored grows with the values, not with a family's pairs."""
+    for name, x in (("CHEAP", cheap), ("GRID", 3), ("LEAST", 40), ("TILE", 32)):
+        monkeypatch.setattr(f"sievestone.operators.fingerprints.{name}", x, raising=False)
+    v = values(240, 8) + [signed(0xABCDEF << 40 | 1 << a | 1 << b) for a in range(24) for b in range(a)] + [0, -1]  # all pairs of the family are links
+    want = Counter(i for a, b, _ in brute(v) for i in (a, b))
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "id long, f long")
+    ways, real = [], FingerprintIndex._in_blocks
+    monkeypatch.setattr(FingerprintIndex, "_in_blocks", lambda *a: ways.append(1) or real(*a))
+    index = FingerprintIndex.open(spark, str(tmp_path), f"f_counts_{len(str(cheap))}", 1000, buckets=4)
+    for number in (0, 1, 1, 2):
+        index.add(rows.filter(f"id % 3 = {number}"), number, "id", "f")
+    assert {r["class_id"]: r["links"] for r in index.classes().collect()} == {k: want[k] for k in range(len(v))}
+    assert {tuple(p) for p in index.pairs().collect()} == brute(v) and sum(want.values()) > 60 * len(v)
+    stored = sum(spark.table(t.name).count() for t in spark.catalog.listTables() if t.name.startswith(index.name))
+    assert stored < 20 * len(v) and len(ways) == (4 if cheap > 1 else 0), (stored, ways)
+    index.drop()
