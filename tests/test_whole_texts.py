@@ -38,7 +38,7 @@ PRINTS = {k: plain(t) for k, t in TEXTS.items()}
 APART = {(a, b): (PRINTS[a] ^ PRINTS[b]).bit_count() for a, b in combinations(PRINTS, 2)}
 
 
-@pytest.mark.parametrize("name, distance", [("simhash_duplicate_pairs", 9)])
+@pytest.mark.parametrize("name, distance", [("simhash_near_pairs", 3), ("simhash_duplicate_pairs", 9)])
 def test_pairs_are_of_whole_texts(spark, folder, name, distance):
     got = {(r["a"], r["b"]): r["distance"] for r in QUERIES[name](spark, folder).collect()}
     assert got == {p: d for p, d in APART.items() if d <= distance} and (3, 4) in got and (1, 2) not in got
