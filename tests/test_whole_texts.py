@@ -44,6 +44,13 @@ def test_pairs_are_of_whole_texts(spark, folder, name, distance):
     assert got == {p: d for p, d in APART.items() if d <= distance} and (3, 4) in got and (1, 2) not in got
 
 
+def test_classes_are_of_whole_texts(spark, folder):
+    got = {r["doc_id"]: (r["class_id"], r["copies"], r["links"]) for r in QUERIES["fingerprint_classes"](spark, folder).collect()}
+    copies = {v: [k for k in PRINTS if PRINTS[k] == v] for v in PRINTS.values()}
+    links = lambda v: sum(v != w and (v ^ w).bit_count() <= 9 for w in copies)
+    assert got == {k: (min(copies[v]), len(copies[v]), links(v)) for k, v in PRINTS.items()}
+
+
 def test_long_texts_are_summed_in_parts(spark):
     rows = spark.createDataFrame([*TEXTS.items()], "k long, t string")
     assert {r["k"]: r["simhash"] & ((1 << 64) - 1) for r in T.simhash(rows, "k", "t", head=None).collect()} == PRINTS
