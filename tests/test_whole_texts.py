@@ -51,6 +51,17 @@ def test_classes_are_of_whole_texts(spark, folder):
     assert got == {k: (min(copies[v]), len(copies[v]), links(v)) for k, v in PRINTS.items()}
 
 
+def test_ranking_is_of_whole_texts(spark, tmp_path):
+    far = "filler words only " * 500
+    docs = [(1, far), (2, far + "the nation on the other hand"), (3, "nothing here")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["semantic_rank"](spark, str(tmp_path)).collect()}
+    grams = lambda t: {t[i : i + 4] for i in range(len(t) - 3)}
+    asked = grams("the nation on the other hand")
+    assert got[1]["cosine"] == 0 < got[2]["cosine"]
+    assert all(got[k]["jaccard"] == round(len(asked & grams(t)) / len(asked | grams(t)), 6) for k, t in docs)
+
+
 def test_long_texts_are_summed_in_parts(spark):
     rows = spark.createDataFrame([*TEXTS.items()], "k long, t string")
     assert {r["k"]: r["simhash"] & ((1 << 64) - 1) for r in T.simhash(rows, "k", "t", head=None).collect()} == PRINTS
